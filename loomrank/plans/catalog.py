@@ -1,6 +1,6 @@
 """All queries over the engine's own operators."""
 
-from . import text_queries  # noqa: F401
+from . import match_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
