@@ -17,6 +17,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+# Elements that format words inside a block; they count as text, not as tags.
+INLINE = frozenset("abbr b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is never part of the main text.
 OUT = frozenset("script style noscript iframe template xmp noembed noframes head title nav footer aside form button select option textarea input dialog menu svg canvas object audio video map search".split())
 #: The same by words of class, id or role.
@@ -104,7 +106,10 @@ def tree(html: str) -> Node:
 
 
 def measure(root: Node) -> None:
-    """Counts characters, tags, link characters and link tags of each subtree without the unwanted elements, then densities and their sums."""
+    """Counts characters, tags, link characters and link tags of each subtree without the unwanted elements, then densities and their sums.
+
+    Elements that only format words don't count as tags: a bold sentence is as dense as a plain one.
+    """
     order, todo = [], [root]
     while todo:
         n = todo.pop()
@@ -116,7 +121,7 @@ def measure(root: Node) -> None:
             if type(p) is str:
                 chars += len("".join(p.split()))
             elif not p.out:
-                chars, tags, link_chars, link_tags = chars + p.chars, tags + 1 + p.tags, link_chars + p.link_chars, link_tags + p.link_tags + (p.name == "a")
+                chars, tags, link_chars, link_tags = chars + p.chars, tags + (p.name not in INLINE) + p.tags, link_chars + p.link_chars, link_tags + p.link_tags + (p.name == "a")
         n.chars, n.tags, n.link_chars, n.link_tags = chars, tags, chars if n.name == "a" else link_chars, link_tags
     body = next((n for n in order if n.name == "body"), root)
     share = body.link_chars / body.chars if body.chars else 0.0
