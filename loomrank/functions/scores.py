@@ -80,13 +80,14 @@ def context_boost(base: Column, jd_domains: Column, own_domains: Column, c: Colu
 
 def evidence_share(matched: Column, text: Column) -> Column:
     """Share of the matched skills whose normal form stands in the text."""
-    low = F.lower(text)
-    return F.when(F.size(matched) == 0, 0.0).otherwise(F.size(F.filter(matched, lambda s: F.contains(low, X.normal_skill(s)))) / F.size(matched))
+    found = X.let(F.lower(text), lambda low: F.size(F.filter(matched, lambda s: F.contains(low, X.normal_skill(s)))))
+    return F.when(F.size(matched) == 0, 0.0).otherwise(found / F.size(matched))
 
 
 def evidence_sections(matched: Column, experience_text: Column, project_text: Column) -> Column:
-    low = F.lower(F.concat_ws(" ", F.coalesce(experience_text, F.lit("")), F.coalesce(project_text, F.lit(""))))
-    return F.when((F.size(matched) == 0) | (F.trim(low) == ""), 0.0).otherwise(F.size(F.filter(matched, lambda s: F.contains(low, F.lower(s)))) / F.size(matched))
+    both = F.lower(F.concat_ws(" ", F.coalesce(experience_text, F.lit("")), F.coalesce(project_text, F.lit(""))))
+    found = X.let(both, lambda low: F.when(F.trim(low) == "", 0).otherwise(F.size(F.filter(matched, lambda s: F.contains(low, F.lower(s))))))
+    return F.when(F.size(matched) == 0, 0.0).otherwise(found / F.size(matched))
 
 
 def normal_weights(w: dict[str, Column], default: dict[str, float] | None = None) -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def mapping(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body names it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quoted(word: str) -> str:
     return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in word)
 
@@ -129,12 +134,15 @@ def grade(c: Column) -> Column:
 
 def section(c: Column, starts: list[str], ends: list[str]) -> Column:
     """From the first start word of the list that occurs to the nearest end word after it, lower-cased; empty without a start."""
-    low = F.lower(c)
-    at = F.coalesce(*[F.nullif(F.locate(s, low), F.lit(0)) for s in starts])
-    rest = F.substring(low, at + 1, F.length(low))
-    stops = [F.nullif(F.locate(e, rest), F.lit(0)) for e in ends]
-    stop = F.least(*stops)
-    return F.coalesce(F.substring(low, at, F.coalesce(stop, F.length(low) + 1)), F.lit(""))
+
+    def first(words: list[str], t: Column) -> list[Column]:
+        return [F.nullif(F.locate(w, t), F.lit(0)) for w in words]
+
+    def cut(rest: Column) -> Column:
+        # rest starts at the section's first character; an end word must lie after that
+        return let(F.least(*first(ends, F.substring(rest, F.lit(2), F.length(rest)))), lambda stop: F.when(stop.isNull(), rest).otherwise(F.substring(rest, F.lit(1), stop)))
+
+    return let(F.lower(c), lambda low: let(F.coalesce(*first(starts, low)), lambda at: F.when(at.isNull(), "").otherwise(let(F.substring(low, at, F.length(low)), cut))))
 
 
 def split_projects(c: Column) -> Column:
