@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import beside, staged
+
+#: Hubs that the lists of one group of equals may have.
+HUBS = 4
 
 
 def components(links: DataFrame, label: str = "cc") -> DataFrame:
@@ -37,7 +40,9 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
         state = state.select("id", "comp")
 
 
-def linked(entries: DataFrame, sketches: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], crowded: int, label: str) -> DataFrame:
+def linked(
+    entries: DataFrame, sketches: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], crowded: int, label: str, refine: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Components over the links found by inverted lists; returns (id, comp) for ids with a link.
 
     entries  (key, id): the lists. sketches (id, ...): what the cheap estimate reads.
@@ -47,15 +52,22 @@ def linked(entries: DataFrame, sketches: DataFrame, likely: Callable[[str, str],
     1. A list longer than ``crowded`` comes from a passage many rows share. An id most of whose lists
        are not crowded is found through those, so its entries in crowded ones are not needed; an id
        with mostly crowded lists keeps all of its entries. Nothing is capped.
-    2. Each list proposes its smallest id against each other member (a star, not all pairs).
-    3. Members of a list that the verified stars left in another component than its smallest id are
-       compared with every member outside their own component; the estimate sits in the join condition,
-       so only likely pairs become rows. Groups of thousands of copies end in step 2.
+    2. Each list proposes one hub, the member that shares most with others, against each other member (a
+       star, not all pairs).
+    3. Members of a list that the verified stars left in another component than its hub are
+       compared with every member outside their own component. Groups of thousands of copies mostly end in
+       step 2. ``refine`` takes these lists (key, id, comp, main) and returns links; without it they are
+       joined with the estimate in the join condition, so that only likely pairs become rows.
     """
-    lists = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(entries.join(staged(lists, f"{label}-lists"), "key"), f"{label}-members")
-    n_keys = entries.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
-    busy = members.where(F.col("n") > crowded).groupBy("id").agg(F.count(F.lit(1)).alias("busy"))
+    sizes = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{label}-sizes")
+    shared = staged(beside(entries, sizes, "key", "inner"), f"{label}-shared")
+    # the id that shares most with others is nearest to the middle of its group; of equal ones each HUBS-th part of the keys takes another
+    weight = staged(shared.groupBy("id").agg(F.sum(F.least("n", F.lit(crowded))).alias("weight")), f"{label}-weight")
+    choice = F.struct("weight", F.xxhash64("id", F.pmod("key", F.lit(HUBS))).alias("dice"), "id")
+    hubs = staged(shared.join(weight, "id").groupBy("key").agg(F.max(choice)["id"].alias("hub")), f"{label}-hubs")
+    members = shared.join(hubs, "key")
+    busy = staged(members.where(F.col("n") > crowded).groupBy("id").agg(F.count(F.lit(1)).alias("busy")), f"{label}-busy")
+    n_keys = beside(entries, busy.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
     spared = busy.join(n_keys, "id").where("2 * busy <= keys").select("id", F.lit(True).alias("spared"))
     hot = members.where(F.col("n") > crowded).join(spared, "id", "left_anti")
     members = staged(members.where(F.col("n") <= crowded).select("key", "id", "hub").union(hot.select("key", "id", "hub")), f"{label}-kept")
@@ -65,13 +77,16 @@ def linked(entries: DataFrame, sketches: DataFrame, likely: Callable[[str, str],
         y = sketches.select(F.col("id").alias("b"), F.struct(*sketches.columns).alias("y"))
         return pairs.join(x, "a").join(y, "b").where(likely("x", "y")).select("a", "b")
 
-    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     first = staged(verify(plausible(stars)), f"{label}-first")
     comp = components(first, f"{label}-cc1")
     tagged = members.join(comp, "id", "left").select("key", "id", "hub", F.coalesce("comp", "id").alias("comp"))
-    split = staged(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("main"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key", "main"), f"{label}-split")
+    split = staged(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.coalesce(F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))), F.min("comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key", "main"), f"{label}-split")
     if split.isEmpty():
         return comp
+    if refine is not None:
+        second = staged(refine(staged(tagged.join(split, "key").select("key", "id", "comp", "main"), f"{label}-rest")), f"{label}-second")
+        return components(first.union(second), f"{label}-cc2")
     rest = staged(tagged.join(split, "key").join(sketches.select(F.col("id"), F.struct(*sketches.columns).alias("s")), "id").select("key", "id", "comp", "main", "s"), f"{label}-rest")
     x = rest.where("comp <> main").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s").alias("x"))
     y = rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("s").alias("y"))
