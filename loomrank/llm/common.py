@@ -63,6 +63,11 @@ def fresh(docs: DataFrame, prefix: str) -> str:
     return name
 
 
+#: Bytes of a staged table, as its files have them, up to which it may be sent to every task.
+SENT_BYTES = 12 << 20
+
+
 def beside(rows: DataFrame, keys: DataFrame, on: str, how: str, most: int = 1_000_000) -> DataFrame:
-    """Joins wide ``rows`` with narrow ``keys`` (already staged): by broadcast while counted to be at most ``most`` rows, else by shuffle."""
-    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
+    """Joins wide ``rows`` with ``keys`` (already staged): by broadcast while ``keys`` has at most ``most`` rows and SENT_BYTES bytes, else by shuffle."""
+    size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.join(F.broadcast(keys) if size <= SENT_BYTES and keys.count() <= most else keys, on, how)
