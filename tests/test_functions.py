@@ -45,7 +45,7 @@ def test_capped_experience_keeps_its_bonus(spark):
 def test_names(spark):
     assert one(spark, X.name_from_file(F.lit("/a/MT2023123_ana_silva_Resume(2).pdf"))) == "Ana Silva"
     assert one(spark, X.name_from_text(F.lit("Ana Petrova Silva\nSummary"))) == "Ana Petrova Silva"
-    assert one(spark, X.name_from_text(F.lit("1 2 jo.bloggs@example.org"))) == "Jo Bloggs" or True
+    assert one(spark, X.name_from_text(F.lit("1 2 jo.bloggs@example.org"))) == "Jo Bloggs"
     assert one(spark, X.name_from_text(F.lit(""))) is None
 
 
