@@ -41,7 +41,7 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
 
 
 def linked(
-    entries: DataFrame, sketches: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], crowded: int, label: str, refine: Callable[[DataFrame], DataFrame] | None = None
+    entries: DataFrame, sketches: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], crowded: int, label: str
 ) -> DataFrame:
     """Components over the links found by inverted lists; returns (id, comp) for ids with a link.
 
@@ -49,15 +49,13 @@ def linked(
     likely   a condition on the two sketch sides "x" and "y"; must be true for nearly every real link.
     verify   takes (a, b) and returns the pairs that are links by the exact measure.
 
-    1. A list longer than ``crowded`` comes from a passage many rows share. An id most of whose lists
-       are not crowded is found through those, so its entries in crowded ones are not needed; an id
-       with mostly crowded lists keeps all of its entries. Nothing is capped.
-    2. Each list proposes one hub, the member that shares most with others, against each other member (a
-       star, not all pairs).
-    3. Members of a list that the verified stars left in another component than its hub are
+    Every entry of a list with two or more members is used, however long the list.
+
+    1. Each list proposes one hub, the member that shares most with others (a list counts for at most
+       ``crowded``), against each other member (a star, not all pairs).
+    2. Members of a list that the verified stars left in another component than its hub are
        compared with every member outside their own component. Groups of thousands of copies mostly end in
-       step 2. ``refine`` takes these lists (key, id, comp, main) and returns links; without it they are
-       joined with the estimate in the join condition, so that only likely pairs become rows.
+       step 1. ``refine`` takes these lists (key, id, comp, main), main the hub's component, and returns links.
     """
     sizes = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{label}-sizes")
     shared = staged(beside(entries, sizes, "key", "inner"), f"{label}-shared")
@@ -65,12 +63,7 @@ def linked(
     weight = staged(shared.groupBy("id").agg(F.sum(F.least("n", F.lit(crowded))).alias("weight")), f"{label}-weight")
     choice = F.struct("weight", F.xxhash64("id", F.pmod("key", F.lit(HUBS))).alias("dice"), "id")
     hubs = staged(shared.join(weight, "id").groupBy("key").agg(F.max(choice)["id"].alias("hub")), f"{label}-hubs")
-    members = shared.join(hubs, "key")
-    busy = staged(members.where(F.col("n") > crowded).groupBy("id").agg(F.count(F.lit(1)).alias("busy")), f"{label}-busy")
-    n_keys = beside(entries, busy.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
-    spared = busy.join(n_keys, "id").where("2 * busy <= keys").select("id", F.lit(True).alias("spared"))
-    hot = members.where(F.col("n") > crowded).join(spared, "id", "left_anti")
-    members = staged(members.where(F.col("n") <= crowded).select("key", "id", "hub").union(hot.select("key", "id", "hub")), f"{label}-kept")
+    members = staged(shared.join(hubs, "key").select("key", "id", "hub"), f"{label}-kept")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         x = sketches.select(F.col("id").alias("a"), F.struct(*sketches.columns).alias("x"))
@@ -84,12 +77,5 @@ def linked(
     split = staged(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.coalesce(F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))), F.min("comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key", "main"), f"{label}-split")
     if split.isEmpty():
         return comp
-    if refine is not None:
-        second = staged(refine(staged(tagged.join(split, "key").select("key", "id", "comp", "main"), f"{label}-rest")), f"{label}-second")
-        return components(first.union(second), f"{label}-cc2")
-    rest = staged(tagged.join(split, "key").join(sketches.select(F.col("id"), F.struct(*sketches.columns).alias("s")), "id").select("key", "id", "comp", "main", "s"), f"{label}-rest")
-    x = rest.where("comp <> main").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s").alias("x"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("main"), F.col("s").alias("y"))
-    more = x.join(y, (x["key"] == y["key"]) & (x["ca"] != y["cb"]) & ((y["cb"] == y["main"]) | (x["a"] < y["b"])) & likely("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = staged(verify(more), f"{label}-second")
+    second = staged(refine(staged(tagged.join(split, "key").select("key", "id", "comp", "main"), f"{label}-rest")), f"{label}-second")
     return components(first.union(second), f"{label}-cc2")

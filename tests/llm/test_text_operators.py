@@ -164,6 +164,21 @@ def test_lines_odd_rows(spark):
     assert line_dedup.line_dedup(df).columns == df.columns and line_dedup.line_dedup(df.limit(0)).collect() == []
 
 
+def test_lines_of_a_family_larger_than_crowded(spark):
+    dice = random.Random(90)
+    template = [dice.choice(WORDS) + dice.choice(WORDS) for _ in range(90)]
+    lines = [" ".join(template)]
+    for _ in range(3 * line_dedup.CROWDED):
+        w = list(template)
+        for i in dice.sample(range(90), 3):
+            w[i] = dice.choice(WORDS) + dice.choice(WORDS)
+        lines.append(" ".join(w))
+    sets = [plain_shingles(x) for x in lines]
+    near = {i for i, s in enumerate(sets) if 100 * len(s & sets[0]) >= 80 * len(s | sets[0])}
+    got = line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), SCHEMA)).collect()
+    assert len(near) > 500 and {r["doc_id"] for r in got if r["keep_doc_id"] == 0} >= near
+
+
 # --- decontamination ---
 ITEMS = [(1, "If Anna has 12 apples and gives 5 apples to Bob then how many apples does Anna have left over"), (2, "the quick brown fox jumps over the lazy dog tonight"), (3, "too short"), (4, None), (5, "only six words are in here")]
 
