@@ -179,6 +179,14 @@ def test_lines_of_a_family_larger_than_crowded(spark):
     assert len(near) > 500 and {r["doc_id"] for r in got if r["keep_doc_id"] == 0} >= near
 
 
+def test_lines_of_one_long_run_are_read_to_the_end(spark):
+    head, a, b = "机器学习模型需要大量的数据", "才能得到好的结果因此清洗很重要也很费时间", "可是今天我们去海边散步看见许多白色的鸟儿"
+    digest = "".join(random.Random(1).choices("0123456789abcde", k=160))
+    rows = [(1, head + a), (2, head + b), (3, digest), (4, "f" + digest[1:]), (5, digest[:80] + digest[:79:-1]), (6, "the Donaudampfschifffahrtsgesellschaft"), (7, "the Donaudampfschifffahrtskapitänsmütze")]
+    got = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.line_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
+
+
 # --- decontamination ---
 ITEMS = [(1, "If Anna has 12 apples and gives 5 apples to Bob then how many apples does Anna have left over"), (2, "the quick brown fox jumps over the lazy dog tonight"), (3, "too short"), (4, None), (5, "only six words are in here")]
 
