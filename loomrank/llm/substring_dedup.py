@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import beside, fresh, small_batches, staged, table, text_of
 
-#: Sentences of a span, and the words that a covered stretch must have to be removed.
-SPAN, MIN_WORDS = 2, 40
+#: Sentences of a span, and the words that a covered stretch must have to be removed: fewer than half of a
+#: 50-word passage, which keeps only its whole sentences when it begins and ends inside others.
+SPAN, MIN_WORDS = 2, 20
 #: A sentence with the white space after it: up to an end mark before white space, or to the end of a line.
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)\s*", re.S)
 

@@ -80,6 +80,22 @@ def test_copies_of_one_row_are_one_document(spark):
     assert sorted((r["doc_id"] or 0) for r in substring_dedup.removals(df).collect()) == [0, 2]
 
 
+def test_passages_of_over_50_words_inside_sentences_go(spark):
+    dice = random.Random(51)
+    rows, passages = [], {}
+    for i in range(40):
+        words, start = prose(dice, 20).split(), dice.randint(1, 10)
+        passages[i] = words[start : start + dice.randint(51, 60)]
+        for d in (i, 100 + i):
+            own = prose(dice, 8).split()
+            rows.append((d, " ".join(own[:18] + passages[i] + own[18:])))
+    gone = defaultdict(int)
+    for r in substring_dedup.removals(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r["span_text"].lower().strip() in " ".join(passages[r["doc_id"] - 100]).lower()
+        gone[r["doc_id"]] += r["n_words"]
+    assert all(2 * gone[100 + i] > len(passages[i]) for i in passages) and min(gone) >= 100
+
+
 # --- quality ---
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
