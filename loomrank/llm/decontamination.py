@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import beside, small_batches, staged, table, text_of
 
-#: Tokens of a window, the plain words it must have, and the tokens below which an item is too short to name.
-WINDOW, MIN_PLAIN, MIN_ITEM = 8, 4, 5
+#: Tokens of a window, the plain words a template must have (with fewer, a window matches word for word only), and the tokens below which an item is too short to name.
+WINDOW, MIN_PLAIN, MIN_ITEM = 8, 4, 3
 #: Distinct benchmark windows up to which they are sent to every task; beyond, all windows are shuffled.
 SENT = 1_000_000
 # Unit words.
@@ -23,6 +23,8 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec sec
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 NUMERIC = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: The code of a token that is punctuation only; a window of these alone never matches.
+BLANK = np.uint64(xxhash.xxh3_64_intdigest(b"") | 8)
 REMEMBERED = 300_000
 
 
@@ -55,11 +57,23 @@ def words_here() -> Words:
     return Words()
 
 
-def windows(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """For each size: (size, hash of each window, usable, kinds of tokens, bare tokens).
+def mixed(code: np.ndarray, at: np.ndarray, size: int, seed: int = 0, first: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the ``size`` codes from each position in ``at``; ``first`` stands in for the codes at ``at`` itself."""
+    out = np.full(len(at), size + seed, np.uint64)
+    for i in range(size):
+        out = (out ^ (code[at + i] if i or first is None else first)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
 
-    Tokens are split at white space and bared of punctuation at the edges. A number, a unit right after a
-    number, and a capitalised word inside a sentence become typed placeholders.
+
+def windows(text: str, sizes: list[int], verbatim: list[int], item: bool = False) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each size: (size, is verbatim, positions, hash of each window, kinds of tokens, tokens, tokens before the slots).
+
+    Tokens are split at white space and bared of punctuation at the edges. In a template a number, a unit right after a
+    number, and a capitalised word inside a sentence become typed placeholders. A capitalised word at the
+    start of a window is read both ways in documents, as an item may begin there (after a colon, under a heading).
+    Windows with fewer than MIN_PLAIN plain words have no template but match word for word: of an item only
+    these are verbatim, of a document all (for the sizes in ``verbatim``), so no place is counted twice.
     """
     known = words_here()
     if len(known.index) > REMEMBERED:
@@ -68,21 +82,27 @@ def windows(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.n
     if not len(at):
         return
     kind, ends = np.array(known.kind)[at] if len(at) > len(known.kind) else np.fromiter((known.kind[i] for i in at), np.int64, len(at)), np.fromiter((known.ends[i] for i in at), bool, len(at))
-    code = np.fromiter((known.code[i] for i in at), np.uint64, len(at))
+    words = np.fromiter((known.code[i] for i in at), np.uint64, len(at))
     begins = np.concatenate([[True], ends[:-1]])
     after_number = np.concatenate([[False], kind[:-1] == NUMBER])
     kind = np.where((kind == NAME) & begins, PLAIN, np.where((kind == UNIT) & ~after_number, PLAIN, kind))
-    code = np.where(kind == PLAIN, code, kind.astype(np.uint64))
+    code = np.where(kind == PLAIN, words, kind.astype(np.uint64))
     plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
-    for size in sizes:
+    for size in sorted({*sizes, *verbatim}):
         n = len(at) - size + 1
         if n < 1:
             continue
-        mixed = np.full(n, size, np.uint64)
-        for i in range(size):
-            mixed = (mixed ^ code[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(31)
-        yield size, mixed.view(np.int64), plain[size:] - plain[:-size] >= min(MIN_PLAIN, size), kind, at
+        enough, count = min(MIN_PLAIN, size), plain[size:] - plain[:-size]
+        if size in sizes:
+            pos = np.flatnonzero(count >= enough)
+            yield size, False, pos, mixed(code, pos, size), kind, at, 0
+            if not item:
+                pos = np.flatnonzero((kind[:n] == NAME) & (count + 1 >= enough))
+                yield size, False, pos, mixed(code, pos, size, first=words[pos]), kind, at, 1
+        if size in verbatim:
+            said = np.concatenate([[0], np.cumsum(words != BLANK)])
+            pos = np.flatnonzero((said[size:] > said[:-size]) & ((count < enough) | (not item)))
+            yield size, True, pos, mixed(words, pos, size, 1 << 20), kind, at, size
 
 
 def slots(kind: np.ndarray, at: np.ndarray, start: int, size: int) -> list[str]:
@@ -92,7 +112,7 @@ def slots(kind: np.ndarray, at: np.ndarray, start: int, size: int) -> list[str]:
 
 
 def item_windows(items: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """(item_id, n_tokens, size, window, item_pos, item_slots): windows of ``size`` tokens, of a shorter item the whole. Items under MIN_ITEM tokens have none."""
+    """(item_id, n_tokens, size, exact, window, item_pos, item_slots): windows of ``size`` tokens, of a shorter item the whole. Items under MIN_ITEM tokens have none."""
     small_batches(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +121,13 @@ def item_windows(items: DataFrame, size: int, text: str = "text") -> DataFrame:
             for item, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
                 n = len(t.split())
                 if n >= MIN_ITEM:
-                    for s, h, use, kind, at in windows(t, [min(n, size)]):
-                        out += [(item, n, s, int(h[i]), int(i), slots(kind, at, i, s)) for i in np.flatnonzero(use)]
-            kinds = [b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["item_id", "n_tokens", "size", "window", "item_pos", "item_slots"])
+                    for s, exact, pos, h, kind, at, skip in windows(t, [min(n, size)], [min(n, size)], item=True):
+                        out += [(item, n, s, exact, int(w), int(i), slots(kind, at, i + skip, s - skip)) for i, w in zip(pos, h)]
+            kinds = [b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["item_id", "n_tokens", "size", "exact", "window", "item_pos", "item_slots"])
 
     rows = items.select(items["item_id"].alias("item_id"), text_of(items, text).alias("text"))
-    return rows.mapInArrow(run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, n_tokens int, size int, window long, item_pos int, item_slots array<string>")
+    return rows.mapInArrow(run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, n_tokens int, size int, exact boolean, window long, item_pos int, item_slots array<string>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
@@ -116,11 +136,12 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: st
     A window of the document matches one of the item when their templates are equal and the slot values
     map one to one (equal values to equal values, different to different). exact_windows counts those
     with the very same values, so n_windows > exact_windows marks a re-parameterised copy. Windows with
-    fewer than MIN_PLAIN plain words never match. Null and empty texts hold nothing, rows of equal doc_id
+    fewer than MIN_PLAIN plain words match word for word only. Null and empty texts hold nothing, rows of equal doc_id
     count as one document, null ids pass through as null, and other columns are ignored. Empty tables give an empty result.
     """
     bench = staged(item_windows(items, size), "bench-windows")
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most ``size`` numbers
+    asked = bench.select("size", "exact").distinct().collect()  # at most twice ``size`` rows
+    sizes, verbatim = (sorted(r["size"] for r in asked if r["exact"] == exact) for exact in (False, True))
     narrow = bench.select("window").distinct()
     sent = np.sort(np.array([r[0] for r in narrow.collect()], np.int64)) if narrow.count() <= SENT else None
     small_batches(docs.sparkSession)
@@ -132,10 +153,11 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: st
         for b in batches:
             out = []
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for s, h, use, kind, at in windows(t, sizes):
+                for s, _, pos, h, kind, at, skip in windows(t, sizes, verbatim):
                     if wanted is not None:
-                        use = use & (wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else use & False
-                    out += [(doc, int(h[i]), int(i), slots(kind, at, i, s)) for i in np.flatnonzero(use)]
+                        use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
+                        pos, h = pos[use], h[use]
+                    out += [(doc, int(w), int(i), slots(kind, at, i + skip, s - skip)) for i, w in zip(pos, h)]
             kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "window", "pos", "doc_slots"])
 

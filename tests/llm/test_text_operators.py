@@ -224,6 +224,14 @@ def test_items_are_found_also_with_other_values(spark):
     assert holds(spark, "too short") == {} and holds(spark, None) == {} and holds(spark, "") == {}
 
 
+def test_items_of_few_plain_words_and_after_headings_are_found(spark):
+    texts = ["Who wrote Pride and Prejudice?", "Where is Mount Kilimanjaro?", "Janet’s ducks lay many eggs daily", "Compute 3 + 4 * 12 - 5 = 7", "New York Los Angeles San Francisco Las Vegas Salt Lake City"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(10 * i + j, form % t) for i, t in enumerate(texts) for j, form in enumerate(["%s", "see this. %s Then on", "Question: %s", "A heading\n%s\nnext"])] + [(99, "Who wrote Sense and Sensibility? Where is Mount Everest now - - - -")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(rows, SCHEMA), items).collect()}
+    assert got == {(10 * i + j, i) for i in range(len(texts)) for j in range(4)}
+
+
 def test_inconsistent_slots_do_not_match(spark):
     item = "If we take 12 of these and add 12 of those what then"
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
