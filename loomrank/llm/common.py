@@ -1,15 +1,21 @@
-"""Helpers that every corpus operator shares: shared-folder staging, batches, text access."""
+"""Helpers that every corpus operator shares: tables in the shared folder, Arrow batches, text access."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; whole texts can be long, so batches stay small.
-ARROW_ROWS = 256
+#: Rows and bytes of one Arrow batch handed to Python; whole texts can be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
+#: Bytes of a staged table, as its files have them, up to which it may be sent to every task.
+SENT_BYTES = 12 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,36 +23,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset (tests in one
-    JVM) a temporary folder is made once and set as the checkpoint directory of the context.
+    Where that is unset, a local master (one machine, as in tests) gets a temporary folder; on a cluster
+    this is an error, as executors wouldn't see such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(context, "_loomrank_shared", None)
     if own is None:
-        own = f"file://{tempfile.mkdtemp(prefix='loomrank-')}"
-        context._loomrank_shared = own
+        own = context._loomrank_shared = f"file://{tempfile.mkdtemp(prefix='loomrank-')}"
+    return own
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    context = spark.sparkContext
+    own = getattr(context, "_loomrank_own", None)
+    if own is None:
+        own = context._loomrank_own = f"{shared_folder(spark)}/loomrank-{uuid.uuid4().hex}"
+        atexit.register(lambda: context._jsc is not None and delete(spark, own))
     return own
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception as e:  # what is left over costs room only
+        print(f"not deleted: {path}: {e}")
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder as Parquet and reads it back.
 
     Cuts the lineage: a lost executor costs at most the stage in hand, and a plan that uses the
-    result several times reads columns of a file instead of computing it again.
+    result several times reads columns of a file instead of computing it again. The shuffle files of the
+    write are let go as soon as it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomrank/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomrank_path = path
+    return out
+
+
+def done(*tables: DataFrame | None) -> None:
+    """Deletes staged tables after their last reader."""
+    for t in tables:
+        path = getattr(t, "_loomrank_path", None)
+        if path:
+            delete(t.sparkSession, path)
 
 
-def small_batches(spark: SparkSession) -> None:
+def in_batches(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` with batches bounded by ARROW_ROWS rows, and by ARROW_BYTES where more than one row is left."""
+    spark = rows.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return rows.mapInArrow(run, schema)
 
 
 def text_of(docs: DataFrame, name: str = "text") -> Column:
@@ -54,6 +105,12 @@ def text_of(docs: DataFrame, name: str = "text") -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
+def row_name(docs: DataFrame, text: str = "text") -> list[Column]:
+    """128 bits that name a row by its doc_id and text, as two longs ``r1`` and ``r2``."""
+    body = text_of(docs, text)
+    return [F.xxhash64(docs["doc_id"], body).alias("r1"), F.xxhash64(F.lit(7), body, docs["doc_id"]).alias("r2")]
+
+
 def fresh(docs: DataFrame, prefix: str) -> str:
     """A column name with this prefix that ``docs`` doesn't have."""
     name, n = prefix, 0
@@ -63,11 +120,12 @@ def fresh(docs: DataFrame, prefix: str) -> str:
     return name
 
 
-#: Bytes of a staged table, as its files have them, up to which it may be sent to every task.
-SENT_BYTES = 12 << 20
+def small(keys: DataFrame, most: int = 1_000_000) -> bool:
+    """Whether a staged table may be sent to every task: SENT_BYTES bytes as its files have them, and ``most`` rows."""
+    size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= SENT_BYTES and keys.count() <= most
 
 
-def beside(rows: DataFrame, keys: DataFrame, on: str, how: str, most: int = 1_000_000) -> DataFrame:
-    """Joins wide ``rows`` with ``keys`` (already staged): by broadcast while ``keys`` has at most ``most`` rows and SENT_BYTES bytes, else by shuffle."""
-    size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.join(F.broadcast(keys) if size <= SENT_BYTES and keys.count() <= most else keys, on, how)
+def beside(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Joins wide ``rows`` with ``keys`` (already staged): by broadcast while that is ``small``, else by shuffle."""
+    return rows.join(F.broadcast(keys) if small(keys) else keys, on, how)

@@ -1,16 +1,24 @@
-"""Distributed union-find and the search for links through inverted lists (DataFrame operations only)."""
+"""Links between sets through inverted lists, and distributed union-find (DataFrame operations only)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import beside, staged
+from .common import beside, done, staged
 
-#: Hubs that the lists of one group of equals may have.
-HUBS = 4
+#: Members of a family that meet each other directly, and members whose majority is the reference of a larger family.
+FEW, SAMPLE = 8, 32
+#: Members of one block when a list is compared member by member.
+BLOCK = 256
+#: Rounds of hubs before what is left of the lists is compared block by block.
+ROUNDS = 3
+#: Percent by which an estimate may lie below the threshold for a family, and a similarity for a member that needs no other list.
+ROOM, CORE = 45, 15
 
 
 def components(links: DataFrame, label: str = "cc") -> DataFrame:
@@ -29,53 +37,206 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
     while True:
         round_ += 1
         near = edges.join(state.select(F.col("id").alias("b"), F.col("comp").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
-        hooked = state.join(near, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "seen").alias("comp"))
+        hooked = staged(state.select("id", "comp").join(near, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "seen").alias("comp")), f"{label}-{round_}h")
         # an old root learns the smallest label that any of its members saw
         roots = hooked.groupBy(F.col("old").alias("root")).agg(F.min("comp").alias("low"))
         moved = staged(hooked.join(roots, hooked["old"] == roots["root"], "left").select("id", "old", F.least("comp", "low").alias("comp")), f"{label}-{round_}a")
         jump = moved.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        state = staged(moved.join(jump, "comp", "left").select("id", "old", F.coalesce("up", "comp").alias("comp")), f"{label}-{round_}b")
+        now = staged(moved.join(jump, "comp", "left").select("id", "old", F.coalesce("up", "comp").alias("comp")), f"{label}-{round_}b")
+        done(state, hooked, moved)
+        state = now
         if state.where("comp <> old").isEmpty():
+            done(edges)
             return state.select("id", "comp")
-        state = state.select("id", "comp")
 
 
-def linked(
-    entries: DataFrame, sketches: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], crowded: int, label: str
-) -> DataFrame:
-    """Components over the links found by inverted lists; returns (id, comp) for ids with a link.
+def estimate(x: str, y: str, k: int) -> tuple[Column, Column]:
+    """(both, of): of the ``k`` smallest values of the union of two bottom-k sketches, how many both hold, and how many there are."""
+    a, b = F.col(x), F.col(y)
+    low = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    return F.size(F.array_intersect(low, F.array_intersect(a, b))), F.size(low)
 
-    entries  (key, id): the lists. sketches (id, ...): what the cheap estimate reads.
-    likely   a condition on the two sketch sides "x" and "y"; must be true for nearly every real link.
-    verify   takes (a, b) and returns the pairs that are links by the exact measure.
 
-    Every entry of a list with two or more members is used, however long the list.
+def fits(n: Column, m: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` elements whose symmetric difference has ``apart`` have a Jaccard similarity of ``percent``/100."""
+    return 100 * (n + m - apart) >= percent * (n + m + apart)
 
-    1. Each list proposes one hub, the member that shares most with others (a list counts for at most
-       ``crowded``), against each other member (a star, not all pairs).
-    2. Members of a list that the verified stars left in another component than its hub are
-       compared with every member outside their own component. Groups of thousands of copies mostly end in
-       step 1. ``refine`` takes these lists (key, id, comp, main), main the hub's component, and returns links.
+
+def apart(x: str, y: str) -> Column:
+    """Size of the symmetric difference of two sets given by what they add to and lack of one reference."""
+    a, b, c, d = F.col(f"{x}adds"), F.col(f"{y}adds"), F.col(f"{x}lacks"), F.col(f"{y}lacks")
+    return F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b)) + F.size(c) + F.size(d) - 2 * F.size(F.array_intersect(c, d))
+
+
+def shrunk(state: DataFrame, label: str) -> DataFrame:
+    """``state(id, need, keys)`` without keys that one id alone has; ids with ``need`` such keys are closed and go, ``need`` falls for the rest."""
+    rows = state.select("id", "need", F.size("keys").alias("had"), F.explode("keys").alias("key"))
+    busy = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"{label}-busy")
+    left = beside(rows, busy, "key", "left_semi").groupBy("id", "need", "had").agg(F.collect_list("key").alias("keys"))
+    out = staged(left.select("id", (F.col("need") - F.col("had") + F.size("keys")).alias("need"), "keys").where("need > 0"), f"{label}-open")
+    done(busy)
+    return out
+
+
+def links(nodes: DataFrame, keys: list[Column], need: Column, values_of: Callable[[DataFrame], DataFrame], percent: int, k: int, label: str, room: int = ROOM, core: int = CORE, rounds: int = ROUNDS) -> list[DataFrame]:
+    """Links (a, b) between nodes whose sets have a Jaccard similarity of ``percent``/100, as staged tables, enough for all components.
+
+    nodes      (id long, sketch array<long>): sketch the smallest values of the set, at most ``k``; staged.
+    keys       array<long> columns of nodes, one after the other in use: the lists that a node stands in. Each narrows what the one before left.
+    need       of a node, a count of its keys such that no link can miss all of as many of them (or only with a chance that the caller states).
+    values_of  takes ids (id) and returns (id, values): the whole sets, distinct long values.
+
+    1. A node with ``need`` keys of its own alone is closed: its links would show in one of those. The rest is open.
+    2. Each list proposes as hub its member with most shared keys. Members whose sketch is not far from the
+       hub's (at most ``room`` percent below the threshold) are its family. In a family of up to FEW members sets
+       meet directly. A larger family's sets are written as differences to one reference, the majority of at
+       most SAMPLE members. Differences of near copies are small, and give similarities exactly.
+    3. All members are compared with the family's middle. For those not linked with it, a partner must have
+       an element beyond the reference in common with them, or so few of these that counts decide: the first are
+       found by lists of such elements, the second by counts.
+    4. A key is settled for a member within ``core`` percent of its hub, as by the triangle inequality its partners
+       are family members too. Members with ``need`` settled keys are closed; what is open goes to the next round.
+    5. What is open after ``rounds`` rounds is compared block by block in its lists.
     """
-    sizes = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{label}-sizes")
-    shared = staged(beside(entries, sizes, "key", "inner"), f"{label}-shared")
-    # the id that shares most with others is nearest to the middle of its group; of equal ones each HUBS-th part of the keys takes another
-    weight = staged(shared.groupBy("id").agg(F.sum(F.least("n", F.lit(crowded))).alias("weight")), f"{label}-weight")
-    choice = F.struct("weight", F.xxhash64("id", F.pmod("key", F.lit(HUBS))).alias("dice"), "id")
-    hubs = staged(shared.join(weight, "id").groupBy("key").agg(F.max(choice)["id"].alias("hub")), f"{label}-hubs")
-    members = staged(shared.join(hubs, "key").select("key", "id", "hub"), f"{label}-kept")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        x = sketches.select(F.col("id").alias("a"), F.struct(*sketches.columns).alias("x"))
-        y = sketches.select(F.col("id").alias("b"), F.struct(*sketches.columns).alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(likely("x", "y")).select("a", "b")
-
-    stars = members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    first = staged(verify(plausible(stars)), f"{label}-first")
-    comp = components(first, f"{label}-cc1")
-    tagged = members.join(comp, "id", "left").select("key", "id", "hub", F.coalesce("comp", "id").alias("comp"))
-    split = staged(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.coalesce(F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))), F.min("comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("key", "main"), f"{label}-split")
-    if split.isEmpty():
-        return comp
-    second = staged(refine(staged(tagged.join(split, "key").select("key", "id", "comp", "main"), f"{label}-rest")), f"{label}-second")
-    return components(first.union(second), f"{label}-cc2")
+    out: list[DataFrame] = []
+    state = None
+    for i, key in enumerate(keys):
+        base = nodes if state is None else beside(nodes, state.select("id"), "id", "left_semi")
+        before, state = state, shrunk(base.select("id", need.alias("need"), key.alias("keys")), f"{label}-k{i}")
+        done(before)
+    for r in range(rounds):
+        if state.isEmpty():
+            done(state)
+            return out
+        found, state = hub_round(nodes, state, values_of, percent, k, f"{label}-r{r}", room, core)
+        out += found
+    if not state.isEmpty():
+        out.append(by_blocks(nodes, state, values_of, percent, k, label))
+    done(state)
+    return out
+
+
+def hub_round(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame], DataFrame], percent: int, k: int, label: str, room: int, core: int) -> tuple[list[DataFrame], DataFrame]:
+    """One round of ``links``: (tables of links, the open nodes left)."""
+    place = F.shiftleft(F.size("keys").cast("long"), 32) + F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = state.select("id", "need", F.size("keys").alias("had"), place.alias("place"), F.explode("keys").alias("key"))
+    hubs = rows.groupBy("key").agg(F.max_by("id", "place").alias("hub"))
+    at = staged(rows.drop("place").join(hubs, "key").where("id <> hub").groupBy("hub", "id", "need", "had").agg(F.collect_list("key").alias("keys")), f"{label}-at")
+    sketches = beside(nodes.select("id", "sketch"), state.select("id"), "id", "left_semi")
+    pairs = at.select("hub", "id").join(sketches.select("id", F.col("sketch").alias("x")), "id").join(sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("y")), "hub")
+    both, of = estimate("x", "y", k)
+    near = staged(pairs.where(100 * both >= (percent - room) * of).select("hub", "id"), f"{label}-near")
+    sizes = near.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("family"))
+    ids = staged(near.select("id").union(near.select("hub")).distinct(), f"{label}-ids")
+    values = staged(values_of(ids), f"{label}-values")
+    done(ids)
+    found: list[DataFrame] = []
+    # small families: each member meets the hub, and the rest where one isn't linked with it
+    few = near.join(sizes.where(F.col("family") <= FEW), "hub")
+    few = staged(compared(few.select("hub", "family", F.col("hub").alias("a"), F.col("id").alias("b")), values).select("hub", "family", "b", like(percent).alias("linked"), like(percent - core).alias("core")), f"{label}-few")
+    found.append(staged(few.where("linked").select(F.col("hub").alias("a"), "b"), f"{label}-few-links"))
+    open_ = few.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("loose")).where("loose > 0").select("hub")
+    some = staged(few.where("family > 2").join(open_, "hub", "left_semi").select("hub", "b", "linked"), f"{label}-few-some")
+    if not some.isEmpty():
+        loose = some.where("not linked").select("hub", F.col("b").alias("a")).join(some, "hub").where("a <> b and (linked or a < b)").select("a", "b").distinct()
+        found.append(staged(compared(loose, values).where(like(percent)).select("a", "b"), f"{label}-few-more"))
+    settled = few.where("core").select("hub", F.col("b").alias("id"))
+    # large families: differences to one reference
+    many = staged(near.join(sizes.where(F.col("family") > FEW), "hub").select("hub", "id"), f"{label}-many")
+    seen = split = None
+    if not many.isEmpty():
+        seen = family_members(many.union(many.select("hub").distinct().select("hub", F.col("hub").alias("id"))), values, percent, core, label)
+        found.append(staged(seen.where("linked and id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")), f"{label}-links"))
+        settled = settled.union(seen.where("core").select("hub", "id"))
+        split = staged(seen.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("loose")).where("loose > 0").select("hub"), f"{label}-split")
+        if not split.isEmpty():
+            found.append(loose_links(seen, split, percent, label))
+    left = at.join(settled, ["hub", "id"], "left_anti").groupBy("id", "need", "had").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    left = staged(left.select("id", (F.col("need") - F.col("had") + F.size("keys")).alias("need"), "keys").where("need > 0"), f"{label}-left")
+    done(values, near, few, some, many, seen, split, at, state)
+    state = shrunk(left, f"{label}-s")
+    done(left)
+    return found, state
+
+
+def compared(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs(a, b, ...)`` with the sets x of a and y of b."""
+    return pairs.join(values.select(F.col("id").alias("b"), F.col("values").alias("y")), "b").join(values.select(F.col("id").alias("a"), F.col("values").alias("x")), "a")
+
+
+def like(percent: int) -> Column:
+    """Whether the sets x and y have a Jaccard similarity of ``percent``/100."""
+    n, m = F.size("x"), F.size("y")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & fits(n, m, n + m - 2 * F.size(F.array_intersect("x", "y")), percent)
+
+
+def family_members(members: DataFrame, values: DataFrame, percent: int, core: int, label: str) -> DataFrame:
+    """members(hub, id) with what their sets add to and lack of the family's reference, the member c nearest to that, and whether they are linked with c, and near the hub."""
+    some = members.withColumn("turn", F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("id"), "id"))).where(F.col("turn") <= SAMPLE)
+    votes = some.join(values, "id").groupBy("hub").agg(F.count(F.lit(1)).alias("voters"), F.flatten(F.collect_list("values")).alias("all"))  # at most SAMPLE sets
+    votes = votes.select("hub", "voters", F.explode("all").alias("v")).groupBy("hub", "v").agg(F.count(F.lit(1)).alias("n"), F.max("voters").alias("voters"))
+    refs = votes.where("2 * n > voters").groupBy("hub").agg(F.collect_list("v").alias("ref"))
+    refs = staged(members.select("hub").distinct().join(refs, "hub", "left").select("hub", F.coalesce("ref", F.array().cast("array<long>")).alias("ref")), f"{label}-refs")
+    away = members.join(values, "id").join(refs, "hub").select("hub", "id", F.size("values").alias("n"), F.array_except("values", "ref").alias("adds"), F.array_except("ref", "values").alias("lacks"))
+    away = staged(away, f"{label}-away")
+    size = (F.size("adds") + F.size("lacks")).cast("long")
+    middle = away.groupBy("hub").agg(F.min_by("id", F.shiftleft(size, 32) + F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))).alias("id"))
+    middle = middle.join(away, ["hub", "id"]).select("hub", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("adds").alias("c_adds"), F.col("lacks").alias("c_lacks"))
+    own = away.where("id = hub").select("hub", F.col("n").alias("h_n"), F.col("adds").alias("h_adds"), F.col("lacks").alias("h_lacks"))
+    seen = away.join(middle.join(own, "hub"), "hub").select(
+        "hub", "id", "c", "n", "adds", "lacks", fits(F.col("n"), F.col("c_n"), apart("", "c_"), percent).alias("linked"), fits(F.col("n"), F.col("h_n"), apart("", "h_"), percent - core).alias("core")
+    )
+    seen = staged(seen, f"{label}-seen")
+    done(refs, away)
+    return seen
+
+
+def loose_links(seen: DataFrame, split: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links of members that aren't linked with their family's middle, see ``links``, step 3."""
+    some = staged(beside(seen, split, "hub", "left_semi").select("hub", "id", "n", "adds", "lacks", F.size("adds").alias("p"), F.size("lacks").alias("q"), "linked"), f"{label}-some")
+    # an element beyond the reference in common
+    rows = some.select("hub", "id", "n", "p", "q", "linked", F.explode("adds").alias("v"))
+    lists = staged(rows.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("loose")).where("size > 1 and loose > 0").select("hub", "v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"{label}-lists")
+    rows = staged(rows.join(lists, ["hub", "v"]), f"{label}-rows")
+    x = rows.where("not linked").select("hub", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("q").alias("aq"))
+    y = rows.select("hub", "v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("q").alias("bq"), "linked")
+    least = F.abs(F.col("ap") - F.col("bp")) + F.abs(F.col("aq") - F.col("bq"))
+    shared = x.join(y, (x["hub"] == y["hub"]) & (x["v"] == y["v"]) & (x["block"] == y["block"]) & (F.col("a") != F.col("b")) & (F.col("linked") | (F.col("a") < F.col("b"))) & fits(F.col("an"), F.col("bn"), least, percent)).select(x["hub"], "a", "b")
+    # no such element in common: counts must allow it
+    able = some.where(F.col("p") * percent <= (100 - percent) * F.col("n"))
+    cells = able.groupBy("hub", "n", "p", "q").agg(F.count_if(~F.col("linked")).alias("loose"))
+    s, t = cells.where("loose > 0").select(F.col("hub").alias("sh"), F.col("n").alias("sn"), F.col("p").alias("sp"), F.col("q").alias("sq")), cells.select(F.col("hub").alias("th"), F.col("n").alias("tn"), F.col("p").alias("tp"), F.col("q").alias("tq"))
+    met = s.join(t, (F.col("sh") == F.col("th")) & fits(F.col("sn"), F.col("tn"), F.col("sp") + F.col("tp") + F.abs(F.col("sq") - F.col("tq")), percent)).select(F.col("sh").alias("hub"), "sn", "sp", "sq", "tn", "tp", "tq")
+    loose = able.where("not linked").select("hub", F.col("n").alias("sn"), F.col("p").alias("sp"), F.col("q").alias("sq"), F.col("id").alias("a"))
+    all_ = able.select("hub", F.col("n").alias("tn"), F.col("p").alias("tp"), F.col("q").alias("tq"), F.col("id").alias("b"), "linked")
+    counted = met.join(loose, ["hub", "sn", "sp", "sq"]).join(all_, ["hub", "tn", "tp", "tq"]).where("a <> b and (linked or a < b)").select("hub", "a", "b")
+    pairs = staged(shared.union(counted).distinct(), f"{label}-loose")
+    done(rows, lists)
+    x = some.select("hub", F.col("id").alias("a"), F.col("n").alias("an"), F.col("adds").alias("a_adds"), F.col("lacks").alias("a_lacks"))
+    y = some.select("hub", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("adds").alias("b_adds"), F.col("lacks").alias("b_lacks"))
+    out = staged(pairs.join(x, ["hub", "a"]).join(y, ["hub", "b"]).where(fits(F.col("an"), F.col("bn"), apart("a_", "b_"), percent)).select("a", "b"), f"{label}-more")
+    done(pairs, some)
+    return out
+
+
+def by_blocks(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame], DataFrame], percent: int, k: int, label: str) -> DataFrame:
+    """Links within what is left of the lists: each block of BLOCK members meets each other, the estimate stands in the join, and exact sets decide."""
+    rows = state.select("id", "keys", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = staged(rows.join(sizes, "key").join(beside(nodes.select("id", "sketch"), state.select("id"), "id", "left_semi"), "id"), f"{label}-rest")
+    x = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("keys").alias("ka"), F.col("sketch").alias("x"))
+    y = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("b"), F.col("keys").alias("kb"), F.col("sketch").alias("y"))
+    both, of = estimate("x", "y", k)
+    once = F.array_min(F.array_intersect("ka", "kb")) == x["key"]  # a pair counts in one of its lists
+    pairs = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("a") < F.col("b")) & once & (100 * both >= (percent - ROOM // 2) * of)).select("a", "b")
+    pairs = staged(pairs, f"{label}-rest-pairs")
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-rest-ids")
+    values = staged(values_of(ids), f"{label}-rest-values")
+    out = staged(compared(pairs, values).where(like(percent)).select("a", "b"), f"{label}-rest-links")
+    done(rows, pairs, ids, values)
+    return out
+
+
+def joined(tables: list[DataFrame], empty: DataFrame) -> DataFrame:
+    """All links of ``tables`` as one; ``empty`` has the columns a and b."""
+    return reduce(DataFrame.union, tables, empty)

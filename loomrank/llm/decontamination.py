@@ -12,12 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, small_batches, staged, table, text_of
+from .common import beside, in_batches, staged, table, text_of
 
 #: Tokens of a window, the plain words a template must have (with fewer, a window matches word for word only), and the tokens below which an item is too short to name.
 WINDOW, MIN_PLAIN, MIN_ITEM = 8, 4, 3
-#: Distinct benchmark windows up to which they are sent to every task; beyond, all windows are shuffled.
-SENT = 1_000_000
+#: Bits of the filter that is sent to every task: FILTER_BITS at most, else about 64 for each benchmark window. It only saves the shuffle of windows that can't match.
+FILTER_BITS = 1 << 27
 # Unit words.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec secs min mins h hr hrs ms second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars cent cents euro euros usd eur gbp percent degree degrees mph kph watt watts volt volts joule joules".split())
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -28,27 +28,27 @@ BLANK = np.uint64(xxhash.xxh3_64_intdigest(b"") | 8)
 REMEMBERED = 300_000
 
 
-class Words:
-    """Numbers raw tokens and knows of each: hash of the bare word, kind by itself, whether it ends a sentence, and the bare text."""
+class Words(dict):
+    """Numbers raw tokens, and knows of each by its number: hash of the bare word, kind by itself, whether it ends a sentence, and the bare text."""
 
     def __init__(self) -> None:
-        self.clear()
+        self.forget()
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.code, self.kind, self.ends, self.bare = [], [], [], []
-
-    def __call__(self, raw: str) -> int:
-        i = self.index.get(raw)
-        if i is None:
-            i = self.index[raw] = len(self.code)
-            bare = EDGE.sub("", raw)
-            low = bare.lower()
-            kind = NUMBER if NUMERIC.fullmatch(raw.rstrip(".,;:!?)\"'")) else UNIT if low in UNITS else NAME if bare[:1].isupper() else PLAIN
-            self.code.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 8)
-            self.kind.append(kind)
-            self.ends.append(raw.rstrip("\"')").endswith((".", "!", "?")))
-            self.bare.append(low)
+    def forget(self) -> None:
+        self.clear()
+        self.bare: list[str] = []
+        self.code, self.kind, self.ends = np.empty(1 << 12, np.uint64), np.empty(1 << 12, np.int64), np.empty(1 << 12, bool)
+
+    def __missing__(self, raw: str) -> int:
+        i = self[raw] = len(self)
+        if i == len(self.code):
+            self.code, self.kind, self.ends = (np.concatenate([x, np.empty_like(x)]) for x in (self.code, self.kind, self.ends))
+        bare = EDGE.sub("", raw)
+        low = bare.lower()
+        self.kind[i] = NUMBER if NUMERIC.fullmatch(raw.rstrip(".,;:!?)\"'")) else UNIT if low in UNITS else NAME if bare[:1].isupper() else PLAIN
+        self.code[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 8
+        self.ends[i] = raw.rstrip("\"')").endswith((".", "!", "?"))
+        self.bare.append(low)
         return i
 
 
@@ -76,13 +76,13 @@ def windows(text: str, sizes: list[int], verbatim: list[int], item: bool = False
     these are verbatim, of a document all (for the sizes in ``verbatim``), so no place is counted twice.
     """
     known = words_here()
-    if len(known.index) > REMEMBERED:
-        known.clear()
-    at = np.fromiter(map(known, text.split()), np.int64)
-    if not len(at):
+    if len(known) > REMEMBERED:
+        known.forget()
+    raw = text.split()
+    if not raw:
         return
-    kind, ends = np.array(known.kind)[at] if len(at) > len(known.kind) else np.fromiter((known.kind[i] for i in at), np.int64, len(at)), np.fromiter((known.ends[i] for i in at), bool, len(at))
-    words = np.fromiter((known.code[i] for i in at), np.uint64, len(at))
+    at = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+    kind, ends, words = known.kind[at], known.ends[at], known.code[at]
     begins = np.concatenate([[True], ends[:-1]])
     after_number = np.concatenate([[False], kind[:-1] == NUMBER])
     kind = np.where((kind == NAME) & begins, PLAIN, np.where((kind == UNIT) & ~after_number, PLAIN, kind))
@@ -113,8 +113,6 @@ def slots(kind: np.ndarray, at: np.ndarray, start: int, size: int) -> list[str]:
 
 def item_windows(items: DataFrame, size: int, text: str = "text") -> DataFrame:
     """(item_id, n_tokens, size, exact, window, item_pos, item_slots): windows of ``size`` tokens, of a shorter item the whole. Items under MIN_ITEM tokens have none."""
-    small_batches(items.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -127,10 +125,22 @@ def item_windows(items: DataFrame, size: int, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["item_id", "n_tokens", "size", "exact", "window", "item_pos", "item_slots"])
 
     rows = items.select(items["item_id"].alias("item_id"), text_of(items, text).alias("text"))
-    return rows.mapInArrow(run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, n_tokens int, size int, exact boolean, window long, item_pos int, item_slots array<string>")
+    return in_batches(rows, run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, n_tokens int, size int, exact boolean, window long, item_pos int, item_slots array<string>")
+
+
+def window_filter(bench: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each benchmark window at its hash modulo the size, as at most bits / 64 longs; tasks build it, and other windows may share a bit."""
+    size = 64
+    while size < bits and size < 64 * bench.count():
+        size *= 2
+    slot = F.col("window").bitwiseAND(F.lit(size - 1))
+    rows = bench.select(F.shiftright(slot, 6).alias("long"), F.expr(f"shiftleft(1L, cast((window & {size - 1}L) & 63 as int))").alias("bit")).groupBy("long").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(size // 64, np.int64)
+    out[[r["long"] for r in rows]] = [r["bits"] for r in rows]
+    return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows, exact_windows, first_pos, n_item_tokens.
 
     A window of the document matches one of the item when their templates are equal and the slot values
@@ -142,27 +152,24 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: st
     bench = staged(item_windows(items, size), "bench-windows")
     asked = bench.select("size", "exact").distinct().collect()  # at most twice ``size`` rows
     sizes, verbatim = (sorted(r["size"] for r in asked if r["exact"] == exact) for exact in (False, True))
-    narrow = bench.select("window").distinct()
-    sent = np.sort(np.array([r[0] for r in narrow.collect()], np.int64)) if narrow.count() <= SENT else None
-    small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(sent)
+    shared = docs.sparkSession.sparkContext.broadcast(window_filter(bench, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
+        mask = len(wanted) * 64 - 1
         for b in batches:
             out = []
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 for s, _, pos, h, kind, at, skip in windows(t, sizes, verbatim):
-                    if wanted is not None:
-                        use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
-                        pos, h = pos[use], h[use]
+                    slot = h & mask
+                    use = np.flatnonzero((wanted[slot >> 6] >> (slot & 63)) & 1)
+                    pos, h = pos[use], h[use]
                     out += [(doc, int(w), int(i), slots(kind, at, i + skip, s - skip)) for i, w in zip(pos, h)]
             kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "window", "pos", "doc_slots"])
 
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs, text).alias("text"))
-    hits = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, window long, pos int, doc_slots array<string>")
+    hits = in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, window long, pos int, doc_slots array<string>")
     pairs = F.size(F.array_distinct(F.arrays_zip("doc_slots", "item_slots")))
     one_to_one = (F.size("doc_slots") == F.size("item_slots")) & (pairs == F.size(F.array_distinct("doc_slots"))) & (pairs == F.size(F.array_distinct("item_slots")))
     return (

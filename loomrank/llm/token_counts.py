@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import in_batches, table, text_of
 
 SPACE = "▁"
 #: A stretch that no merge can leave: all pieces have their space marks in front. A line feed never merges.
@@ -99,7 +99,6 @@ def token_counts(docs: DataFrame, text: str = "text", model: str | None = None,
     have; None takes the installed vocabulary.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model or model_file())
@@ -109,7 +108,7 @@ def token_counts(docs: DataFrame, text: str = "text", model: str | None = None,
 
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs, text).alias("text")).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return in_batches(rows, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

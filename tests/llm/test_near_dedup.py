@@ -73,7 +73,7 @@ def corpus(seed):
 @pytest.mark.parametrize("percent,seed", [(85, 1), (80, 2)])
 def test_components_equal_brute_force(spark, percent, seed):
     rows = corpus(seed)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), percent, crowded=20).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), percent).collect()}
     assert got == brute(rows, percent)
 
 
