@@ -121,9 +121,23 @@ def fresh(docs: DataFrame, prefix: str) -> str:
 
 
 def small(keys: DataFrame, most: int = 1_000_000) -> bool:
-    """Whether a staged table may be sent to every task: SENT_BYTES bytes as its files have them, and ``most`` rows."""
+    """Whether a staged table may be sent to every task: at most ``most`` rows and SENT_BYTES bytes, by its rows where they are of fixed width, else as its files have them."""
     size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= SENT_BYTES and keys.count() <= most
+    fixed = all(f.dataType.typeName() in ("long", "integer", "short", "byte", "boolean", "double", "date") for f in keys.schema)
+    if not fixed and size > SENT_BYTES:
+        return False
+    rows = keys.count()
+    return rows <= most and (not fixed or 8 * len(keys.columns) * rows <= SENT_BYTES)
+
+
+def one_each(found: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``found`` staged, with one row for each of the staged ``ids``: rows beyond these come from repeated rows of a table and are equal."""
+    out = staged(found, label)
+    if out.count() <= ids.count():
+        return out
+    once = staged(out.dropDuplicates(["id"]), label)
+    done(out)
+    return once
 
 
 def beside(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:

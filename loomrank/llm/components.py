@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import beside, done, staged
+from .common import beside, done, one_each, staged
 
 #: Members of a family that meet each other directly, and members whose majority is the reference of a larger family.
 FEW, SAMPLE = 8, 32
@@ -84,7 +84,7 @@ def links(nodes: DataFrame, keys: list[Column], need: Column, values_of: Callabl
     nodes      (id long, sketch array<long>): sketch the smallest values of the set, at most ``k``; staged.
     keys       array<long> columns of nodes, one after the other in use: the lists that a node stands in. Each narrows what the one before left.
     need       of a node, a count of its keys such that no link can miss all of as many of them (or only with a chance that the caller states).
-    values_of  takes ids (id) and returns (id, values): the whole sets, distinct long values.
+    values_of  takes staged ids (id) and returns (id, values): the whole sets, distinct long values; a set may come more than once.
 
     1. A node with ``need`` keys of its own alone is closed: its links would show in one of those. The rest is open.
     2. Each list proposes as hub its member with most shared keys. Members whose sketch is not far from the
@@ -101,18 +101,18 @@ def links(nodes: DataFrame, keys: list[Column], need: Column, values_of: Callabl
     out: list[DataFrame] = []
     state = None
     for i, key in enumerate(keys):
-        base = nodes if state is None else beside(nodes, state.select("id"), "id", "left_semi")
-        before, state = state, shrunk(base.select("id", need.alias("need"), key.alias("keys")), f"{label}-k{i}")
+        before, state = state, shrunk(nodes.select("id", need.alias("need"), key.alias("keys")), f"{label}-k{i}")
         done(before)
+        if i == 0:  # few nodes are open from here on
+            nodes = staged(beside(nodes, state.select("id"), "id", "left_semi"), f"{label}-nodes")
     for r in range(rounds):
         if state.isEmpty():
-            done(state)
-            return out
+            break
         found, state = hub_round(nodes, state, values_of, percent, k, f"{label}-r{r}", room, core)
         out += found
     if not state.isEmpty():
         out.append(by_blocks(nodes, state, values_of, percent, k, label))
-    done(state)
+    done(state, nodes)
     return out
 
 
@@ -122,13 +122,12 @@ def hub_round(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame
     rows = state.select("id", "need", F.size("keys").alias("had"), place.alias("place"), F.explode("keys").alias("key"))
     hubs = rows.groupBy("key").agg(F.max_by("id", "place").alias("hub"))
     at = staged(rows.drop("place").join(hubs, "key").where("id <> hub").groupBy("hub", "id", "need", "had").agg(F.collect_list("key").alias("keys")), f"{label}-at")
-    sketches = beside(nodes.select("id", "sketch"), state.select("id"), "id", "left_semi")
-    pairs = at.select("hub", "id").join(sketches.select("id", F.col("sketch").alias("x")), "id").join(sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("y")), "hub")
+    pairs = at.select("hub", "id").join(nodes.select("id", F.col("sketch").alias("x")), "id").join(nodes.select(F.col("id").alias("hub"), F.col("sketch").alias("y")), "hub")
     both, of = estimate("x", "y", k)
     near = staged(pairs.where(100 * both >= (percent - room) * of).select("hub", "id"), f"{label}-near")
     sizes = near.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("family"))
     ids = staged(near.select("id").union(near.select("hub")).distinct(), f"{label}-ids")
-    values = staged(values_of(ids), f"{label}-values")
+    values = one_each(values_of(ids), ids, f"{label}-values")
     done(ids)
     found: list[DataFrame] = []
     # small families: each member meets the hub, and the rest where one isn't linked with it
@@ -223,7 +222,7 @@ def by_blocks(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame
     """Links within what is left of the lists: each block of BLOCK members meets each other, the estimate stands in the join, and exact sets decide."""
     rows = state.select("id", "keys", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = staged(rows.join(sizes, "key").join(beside(nodes.select("id", "sketch"), state.select("id"), "id", "left_semi"), "id"), f"{label}-rest")
+    rows = staged(rows.join(sizes, "key").join(nodes.select("id", "sketch"), "id"), f"{label}-rest")
     x = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("keys").alias("ka"), F.col("sketch").alias("x"))
     y = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("b"), F.col("keys").alias("kb"), F.col("sketch").alias("y"))
     both, of = estimate("x", "y", k)
@@ -231,7 +230,7 @@ def by_blocks(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame
     pairs = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("a") < F.col("b")) & once & (100 * both >= (percent - ROOM // 2) * of)).select("a", "b")
     pairs = staged(pairs, f"{label}-rest-pairs")
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-rest-ids")
-    values = staged(values_of(ids), f"{label}-rest-values")
+    values = one_each(values_of(ids), ids, f"{label}-rest-values")
     out = staged(compared(pairs, values).where(like(percent)).select("a", "b"), f"{label}-rest-links")
     done(rows, pairs, ids, values)
     return out
