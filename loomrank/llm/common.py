@@ -123,11 +123,13 @@ def fresh(docs: DataFrame, prefix: str) -> str:
 def small(keys: DataFrame, most: int = 1_000_000) -> bool:
     """Whether a staged table may be sent to every task: at most ``most`` rows and SENT_BYTES bytes, by its rows where they are of fixed width, else as its files have them."""
     size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    fixed = all(f.dataType.typeName() in ("long", "integer", "short", "byte", "boolean", "double", "date") for f in keys.schema)
+    width = {"long": 8, "double": 8, "integer": 4, "date": 4, "boolean": 1}
+    widths = [width.get(f.dataType.typeName()) for f in keys.schema]
+    fixed = None not in widths
     if not fixed and size > SENT_BYTES:
         return False
     rows = keys.count()
-    return rows <= most and (not fixed or 8 * len(keys.columns) * rows <= SENT_BYTES)
+    return rows <= most and (not fixed or sum(widths) * rows <= SENT_BYTES)
 
 
 def one_each(found: DataFrame, ids: DataFrame, label: str) -> DataFrame:

@@ -138,13 +138,20 @@ def hub_round(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame
     some = staged(few.where("family > 2").join(open_, "hub", "left_semi").select("hub", "b", "linked"), f"{label}-few-some")
     if not some.isEmpty():
         loose = some.where("not linked").select("hub", F.col("b").alias("a")).join(some, "hub").where("a <> b and (linked or a < b)").select("a", "b").distinct()
-        found.append(staged(compared(loose, values).where(like(percent)).select("a", "b"), f"{label}-few-more"))
+        loose = staged(loose, f"{label}-few-loose")
+        them = staged(loose.select(F.col("a").alias("id")).union(loose.select("b")).distinct(), f"{label}-few-ids")
+        found.append(staged(compared(loose, beside(values, them, "id", "left_semi")).where(like(percent)).select("a", "b"), f"{label}-few-more"))
+        done(loose, them)
     settled = few.where("core").select("hub", F.col("b").alias("id"))
     # large families: differences to one reference
     many = staged(near.join(sizes.where(F.col("family") > FEW), "hub").select("hub", "id"), f"{label}-many")
     seen = split = None
     if not many.isEmpty():
-        seen = family_members(many.union(many.select("hub").distinct().select("hub", F.col("hub").alias("id"))), values, percent, core, label)
+        members = staged(many.union(many.select("hub").distinct().select("hub", F.col("hub").alias("id"))), f"{label}-members")
+        them = staged(members.select("id").distinct(), f"{label}-many-ids")
+        theirs = staged(beside(values, them, "id", "left_semi"), f"{label}-many-values")
+        seen = family_members(members, theirs, percent, core, label)
+        done(members, them, theirs)
         found.append(staged(seen.where("linked and id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")), f"{label}-links"))
         settled = settled.union(seen.where("core").select("hub", "id"))
         split = staged(seen.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("loose")).where("loose > 0").select("hub"), f"{label}-split")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -12,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import in_batches, table, text_of
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile("[>\"']")
+#: Quoted values of one tag beyond which it ends at the next ">", so that broken quotes don't make a page take long.
+QUOTES = 64
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -20,10 +24,14 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 # Elements that format words inside a block; they count as text, not as tags.
 INLINE = frozenset("abbr b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is never part of the main text.
-OUT = frozenset("script style noscript iframe template xmp noembed noframes head title nav footer aside form button select option textarea input dialog menu svg canvas object audio video map search".split())
-#: The same by words of class, id or role.
+OUT = frozenset("script style noscript iframe template xmp noembed noframes head title nav footer aside button select option textarea input dialog menu svg canvas object audio video map search".split())
+#: Words of class, id or role that hint at the same, not after "no-", "has-" or "with-". They and forms count only for an
+#: element that has less than MOST percent of the body's text outside links, or not the page's headline or article element; comments go in any case unless they hold a headline or the article element.
+MOST = 60
+NOT_AFTER = "".join(f"(?<!{w}[\\s_-])" for w in ("no", "non", "has", "with", "without"))
+COMMENT_WORDS = re.compile(rf"(?:^|[\s_-]){NOT_AFTER}(?:comment|comments|disqus|replies|respond)(?:$|[\s_-])", re.I)
 OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|comment|comments|disqus|replies|respond|footer|masthead|search|toolbar|skip|complementary|contentinfo)(?:$|[\s_-])", re.I
+    rf"(?:^|[\s_-]){NOT_AFTER}" r"(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|comment|comments|disqus|replies|respond|footer|masthead|search|toolbar|skip|complementary|contentinfo)(?:$|[\s_-])", re.I
 )
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
 #: What an opening tag ends: open elements of these names, up to the nearest of the second set.
@@ -34,77 +42,144 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("name", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "most")
+    __slots__ = ("name", "parts", "out", "hint", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "most", "main")
 
-    def __init__(self, name: str, out: bool):
-        self.name, self.out, self.parts = name, out, []
+    def __init__(self, name: str, out: bool, hint: int = 0):
+        self.name, self.out, self.hint, self.parts = name, out, hint, []
 
 
-def unwanted(name: str, attributes: str, inside: list[Node]) -> bool:
+def unwanted(name: str, attributes: str, inside: Counter[str]) -> tuple[bool, int]:
+    """(is never main text, hint that it isn't: 1 by words, 2 by words for comments)."""
     if name in OUT:
-        return True
+        return True, 0
     if name == "header":
-        return not any(n.name in ("article", "main") for n in inside)
-    if not attributes:
-        return False
-    for key, value in NAMED.findall(attributes):
+        return not (inside["article"] or inside["main"]), 0
+    hint = int(name == "form")
+    for key, value in NAMED.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and OUT_WORDS.search(value):
-            return True
-    return False
+            return True, 0
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
+            hint = 2 if COMMENT_WORDS.search(value) else hint or int(OUT_WORDS.search(value) is not None)
+    return False, hint
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
+    """("text" | "open" | "close", text or name, attributes, end) in page order; each character is looked at a bounded number of times. The caller may send a place to go on from."""
+    at, size, last = 0, len(html), html.rfind(">")
+    final = {q: html.rfind(q) for q in "\"'"}
+    while at < size:
+        start = html.find("<", at)
+        if start < 0 or start > last:
+            yield "text", html[at:], "", size
+            return
+        if start > at:
+            yield "text", html[at:start], "", start
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            continue
+        closing = html.startswith("/", start + 1)
+        m = NAME.match(html, start + 1 + closing)
+        if m is None:
+            if html[start + 1 : start + 2] in ("!", "?"):
+                at = html.find(">", start) + 1
+            else:
+                at = start + 1
+                yield "text", "<", "", at
+            continue
+        place, end = m.end(), -1
+        for _ in range(QUOTES):
+            stop = STOP.search(html, place)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            if stop.start() >= final[stop[0]]:
+                break
+            place = html.find(stop[0], stop.end()) + 1
+        if end < 0:
+            end = html.find(">", m.end())
+        at = end + 1
+        sent = yield "close" if closing else "open", m[0].lower(), html[m.end() : end], at
+        if sent is not None:
+            at = sent
+            yield "text", "", "", at
 
 
 def tree(html: str) -> Node:
     """The document tree: an opening block ends an open paragraph, list items and cells end their siblings, and unknown closing tags count for nothing."""
     root = Node("#root", False)
-    stack, at, size = [root], 0, len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
-            stack[-1].parts.append(html[at:])
-            break
-        if m.start() > at:
-            stack[-1].parts.append(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+    stack, names = [root], Counter()
+
+    def end(i: int) -> None:
+        names.subtract(n.name for n in stack[i:])
+        del stack[i:]
+
+    found = tokens(html)
+    for what, name, attributes, at in found:
+        if what == "text":
+            if name:
+                stack[-1].parts.append(name)
             continue
-        name = name.lower()
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break
+        if what == "close":
+            if names[name] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == name:
+                        end(i)
+                        break
+                    if stack[i].name in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot"):
+                        break
             continue
-        if name in BLOCK:
+        if name in BLOCK and names["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    end(i)
                     break
                 if stack[i].name in BLOCK:
                     break
         if name in CLOSES:
             ends, bound = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in bound:
-                    break
-                if stack[i].name in ends:
-                    del stack[i:]
-        attributes = m[3] or m[6] or ""
-        node = Node(name, unwanted(name, attributes, stack))
+            if any(names[e] > 0 for e in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name in bound:
+                        break
+                    if stack[i].name in ends:
+                        end(i)
+        node = Node(name, *unwanted(name, attributes, names))
         stack[-1].parts.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else size
+            closed = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            found.send(closed.end() if closed else len(html))
         elif name not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            names[name] += 1
+    prune(root)
     return root
 
 
+def prune(root: Node) -> None:
+    """Takes hinted elements out that don't hold the page's main part."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [p for p in n.parts if type(p) is Node and not p.out]
+    for n in reversed(order):
+        chars, main = 0, n.name in ("article", "main", "h1")
+        for p in n.parts:
+            if type(p) is str:
+                chars += len("".join(p.split()))
+            elif not p.out:
+                chars, main = chars + p.chars, main or p.main
+        n.chars, n.main = 0 if n.name == "a" else chars, main
+    body = next((n for n in order if n.name == "body"), root)
+    for n in order:
+        if n.hint == 2 and not n.main or n.hint == 1 and (100 * n.chars < MOST * body.chars or body.main and not n.main):
+            n.out = True
+
+
 def measure(root: Node) -> None:
     """Counts characters, tags, link characters and link tags of each subtree without the unwanted elements, then densities and their sums.
 
@@ -214,7 +289,8 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row, from the whole html.
 
     Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and comments
-    are left out wherever they stand. Null, empty and tag-only pages give an empty text; text without any
+    are left out wherever they stand; an element that only its class names as such, or a form, stays if it holds
+    MOST percent of the body's text outside links and the headline or article element, if there is one. Broken markup takes time in proportion to the page. Null, empty and tag-only pages give an empty text; text without any
     tag is one block. Repeated rows give repeated rows, null ids and urls pass through, other columns are
     ignored, an empty table gives an empty result.
     """
