@@ -13,6 +13,8 @@ from .common import beside, done, one_each, staged
 
 #: Members of a family that meet each other directly, and members whose majority is the reference of a larger family.
 FEW, SAMPLE = 8, 32
+#: Elements of a difference up to which it is carried along while pairs are sought.
+BRIEF = 128
 #: Members of one block when a list is compared member by member.
 BLOCK = 256
 #: Rounds of hubs before what is left of the lists is compared block by block.
@@ -201,13 +203,15 @@ def loose_links(seen: DataFrame, split: DataFrame, percent: int, label: str) ->
     """Links of members that aren't linked with their family's middle, see ``links``, step 3."""
     some = staged(beside(seen, split, "hub", "left_semi").select("hub", "id", "n", "adds", "lacks", F.size("adds").alias("p"), F.size("lacks").alias("q"), "linked"), f"{label}-some")
     # an element beyond the reference in common
-    rows = some.select("hub", "id", "n", "p", "q", "linked", F.explode("adds").alias("v"))
+    brief = F.when(F.col("p") + F.col("q") <= BRIEF, F.struct("adds", "lacks"))
+    rows = some.select("hub", "id", "n", "p", "q", "linked", brief.alias("own"), F.explode("adds").alias("v"))
     lists = staged(rows.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("loose")).where("size > 1 and loose > 0").select("hub", "v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"{label}-lists")
     rows = staged(rows.join(lists, ["hub", "v"]), f"{label}-rows")
-    x = rows.where("not linked").select("hub", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("q").alias("aq"))
-    y = rows.select("hub", "v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("q").alias("bq"), "linked")
+    x = rows.where("not linked").select("hub", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("q").alias("aq"), F.col("own").alias("ao"))
+    y = rows.select("hub", "v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("q").alias("bq"), F.col("own").alias("bo"), "linked")
     least = F.abs(F.col("ap") - F.col("bp")) + F.abs(F.col("aq") - F.col("bq"))
-    shared = x.join(y, (x["hub"] == y["hub"]) & (x["v"] == y["v"]) & (x["block"] == y["block"]) & (F.col("a") != F.col("b")) & (F.col("linked") | (F.col("a") < F.col("b"))) & fits(F.col("an"), F.col("bn"), least, percent)).select(x["hub"], "a", "b")
+    exact = F.col("ao").isNull() | F.col("bo").isNull() | fits(F.col("an"), F.col("bn"), apart("ao.", "bo."), percent)  # so only links become rows
+    shared = x.join(y, (x["hub"] == y["hub"]) & (x["v"] == y["v"]) & (x["block"] == y["block"]) & (F.col("a") != F.col("b")) & (F.col("linked") | (F.col("a") < F.col("b"))) & fits(F.col("an"), F.col("bn"), least, percent) & exact).select(x["hub"], "a", "b")
     # no such element in common: counts must allow it
     able = some.where(F.col("p") * percent <= (100 - percent) * F.col("n"))
     cells = able.groupBy("hub", "n", "p", "q").agg(F.count_if(~F.col("linked")).alias("loose"))

@@ -25,7 +25,8 @@ NUMERIC = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: The code of a token that is punctuation only; a window of these alone never matches.
 BLANK = np.uint64(xxhash.xxh3_64_intdigest(b"") | 8)
-REMEMBERED = 300_000
+#: Tokens that a worker remembers before it starts anew.
+REMEMBERED = 100_000
 
 
 class Words(dict):
