@@ -101,6 +101,7 @@ def links(nodes: DataFrame, keys: list[Column], need: Column, values_of: Callabl
     5. What is open after ``rounds`` rounds is compared block by block in its lists.
     """
     out: list[DataFrame] = []
+    families: list[DataFrame] = []
     state = None
     for i, key in enumerate(keys):
         before, state = state, shrunk(nodes.select("id", need.alias("need"), key.alias("keys")), f"{label}-k{i}")
@@ -110,16 +111,17 @@ def links(nodes: DataFrame, keys: list[Column], need: Column, values_of: Callabl
     for r in range(rounds):
         if state.isEmpty():
             break
-        found, state = hub_round(nodes, state, values_of, percent, k, f"{label}-r{r}", room, core)
+        found, state, near = hub_round(nodes, state, values_of, percent, k, f"{label}-r{r}", room, core)
         out += found
+        families.append(near)
     if not state.isEmpty():
-        out.append(by_blocks(nodes, state, values_of, percent, k, label))
-    done(state, nodes)
+        out.append(by_blocks(nodes, state, families, values_of, percent, k, label))
+    done(state, nodes, *families)
     return out
 
 
-def hub_round(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame], DataFrame], percent: int, k: int, label: str, room: int, core: int) -> tuple[list[DataFrame], DataFrame]:
-    """One round of ``links``: (tables of links, the open nodes left)."""
+def hub_round(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame], DataFrame], percent: int, k: int, label: str, room: int, core: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """One round of ``links``: (tables of links, the open nodes left, (hub, id) of the families)."""
     place = F.shiftleft(F.size("keys").cast("long"), 32) + F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))
     rows = state.select("id", "need", F.size("keys").alias("had"), place.alias("place"), F.explode("keys").alias("key"))
     hubs = rows.groupBy("key").agg(F.max_by("id", "place").alias("hub"))
@@ -161,10 +163,10 @@ def hub_round(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame
             found.append(loose_links(seen, split, percent, label))
     left = at.join(settled, ["hub", "id"], "left_anti").groupBy("id", "need", "had").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     left = staged(left.select("id", (F.col("need") - F.col("had") + F.size("keys")).alias("need"), "keys").where("need > 0"), f"{label}-left")
-    done(values, near, few, some, many, seen, split, at, state)
+    done(values, few, some, many, seen, split, at, state)
     state = shrunk(left, f"{label}-s")
     done(left)
-    return found, state
+    return found, state, near
 
 
 def compared(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -229,16 +231,21 @@ def loose_links(seen: DataFrame, split: DataFrame, percent: int, label: str) ->
     return out
 
 
-def by_blocks(nodes: DataFrame, state: DataFrame, values_of: Callable[[DataFrame], DataFrame], percent: int, k: int, label: str) -> DataFrame:
-    """Links within what is left of the lists: each block of BLOCK members meets each other, the estimate stands in the join, and exact sets decide."""
-    rows = state.select("id", "keys", F.explode("keys").alias("key"))
+def by_blocks(nodes: DataFrame, state: DataFrame, families: list[DataFrame], values_of: Callable[[DataFrame], DataFrame], percent: int, k: int, label: str) -> DataFrame:
+    """Links within what is left of the lists: each block of BLOCK members meets each other, the estimate stands in the join, and exact sets decide.
+
+    Pairs within a family of an earlier round have been compared there, and are left out.
+    """
+    of = [f.select("id", F.struct(F.lit(r).alias("r"), "hub").alias("f")).union(f.select("hub", F.struct(F.lit(r).alias("r"), "hub")).distinct()) for r, f in enumerate(families)]
+    of = reduce(DataFrame.union, of).join(state.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set("f").alias("fs"))
+    rows = state.join(of, "id", "left").select("id", "keys", F.coalesce("fs", F.array().cast("array<struct<r:int,hub:bigint>>")).alias("fs"), F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = staged(rows.join(sizes, "key").join(nodes.select("id", "sketch"), "id"), f"{label}-rest")
-    x = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("keys").alias("ka"), F.col("sketch").alias("x"))
-    y = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("b"), F.col("keys").alias("kb"), F.col("sketch").alias("y"))
+    x = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("keys").alias("ka"), F.col("fs").alias("fa"), F.col("sketch").alias("x"))
+    y = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("b"), F.col("keys").alias("kb"), F.col("fs").alias("fb"), F.col("sketch").alias("y"))
     both, of = estimate("x", "y", k)
     once = F.array_min(F.array_intersect("ka", "kb")) == x["key"]  # a pair counts in one of its lists
-    pairs = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("a") < F.col("b")) & once & (100 * both >= (percent - ROOM // 2) * of)).select("a", "b")
+    pairs = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("a") < F.col("b")) & once & ~F.arrays_overlap("fa", "fb") & (100 * both >= (percent - ROOM // 2) * of)).select("a", "b")
     pairs = staged(pairs, f"{label}-rest-pairs")
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-rest-ids")
     values = one_each(values_of(ids), ids, f"{label}-rest-values")
