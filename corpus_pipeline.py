@@ -43,7 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: The classifier and the fuzzy stages can't be put in SQL; tests hold each stage against a brute-force version.
+#: The classifier and the fuzzy stages can't be put in SQL. Tests hold the operators of lines, near duplicates and
+#: decontamination against brute force, and the pipeline's stages only to their columns and shrinking sets of ids.
 ORACLE_SQL = None
 
 
