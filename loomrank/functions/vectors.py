@@ -23,23 +23,42 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hashed_dim(token: Column, size: int = V.BOW_SIZE) -> Column:
     """md5(token) modulo ``size``: 2**32 is 256 modulo 768, so the four words of the digest need no wide number."""
-    h = F.md5(token)
-    out = F.lit(0).cast("long")
-    for i in range(4):
-        out = F.pmod(out * ((1 << 32) % size) + F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long"), F.lit(size))
-    return out.cast("int")
+    def modulo(h: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(4):
+            out = F.pmod(out * ((1 << 32) % size) + F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long"), F.lit(size))
+        return out.cast("int")
+
+    return X.let(F.md5(token), modulo)
+
+
+def counted(values: Column) -> Column:
+    """array<struct<value, n, of>> of an array: each distinct value, how often it stands there, and the array's size. Sorts, and reads runs."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("value"), i.alias("at"))), lambda p: (p["at"] == 0) | (F.get(s, p["at"] - 1) != p["value"]))
+        return X.let(starts, lambda st: F.transform(st, lambda p, j: F.struct(p["value"].alias("value"), (F.coalesce(F.get(st, j + 1)["at"], F.size(s)) - p["at"]).cast("long").alias("n"), F.size(s).alias("of"))))
+
+    return X.let(F.sort_array(values), runs)
 
 
 def token_counts(rows: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """(ids..., token, n): how often each token stands in each text."""
-    return rows.select(*ids, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("n"))
+    """(ids..., token, n, len): how often each token stands in each text, and the text's number of tokens.
+
+    A row's counts are made in the row, without a shuffle; ``ids`` name a row.
+    """
+    return rows.select(*ids, F.explode(counted(X.tokens(F.col(text)))).alias("_c")).select(*ids, F.col("_c.value").alias("token"), F.col("_c.n").alias("n"), F.col("_c.of").alias("len"))
+
+
+def bag_of_words(rows: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
+    """(ids..., dim, v): unit vectors of texts over hashed dimensions, made in the row, without a shuffle; ``ids`` name a row."""
 
+    def unit(r: Column) -> Column:
+        length = F.sqrt(F.aggregate(r, F.lit(0).cast("long"), lambda s, c: s + c["n"] * c["n"]).cast("double"))
+        return X.let(length, lambda size: F.transform(r, lambda c: F.struct(c["value"].alias("dim"), (c["n"] / size).alias("v"))))
 
-def bag_of_words(counts: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids..., dim, v): unit vectors over hashed dimensions from token counts."""
-    dims = counts.groupBy(*ids, hashed_dim(F.col("token")).alias("dim")).agg(F.sum("n").alias("n"))
-    length = dims.groupBy(*ids).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
-    return dims.join(length, ids).select(*ids, "dim", (F.col("n") / F.col("length")).alias("v"))
+    dims = F.transform(X.tokens(F.col(text)), lambda t: hashed_dim(t))
+    return rows.select(*ids, F.explode(X.let(counted(dims), unit)).alias("_c")).select(*ids, "_c.dim", "_c.v")
 
 
 def sparse_cosine(left: DataFrame, left_ids: list[str], right: DataFrame, right_ids: list[str]) -> DataFrame:

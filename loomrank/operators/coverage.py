@@ -24,7 +24,7 @@ def exact_coverage(df: DataFrame, required: str, own: str, heavy: int = 8) -> Da
 def skill_vectors(skills: DataFrame, column: str) -> DataFrame:
     """(skill, dim, v) of the distinct skills: each is embedded once, however many rows name it."""
     distinct = skills.select(F.col(column).alias("skill")).distinct()
-    return Vec.bag_of_words(Vec.token_counts(distinct, ["skill"], "skill"), ["skill"])
+    return Vec.bag_of_words(distinct, ["skill"], "skill")
 
 
 def best_similarity(required: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:

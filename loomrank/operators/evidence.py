@@ -19,8 +19,9 @@ def concept_lookup(skills: DataFrame, concepts: DataFrame, floor: float = V.CONC
     A concept's text is its label and alternatives. Below the floor the skill stands for itself, without alternatives.
     """
     named = concepts.withColumn("text", F.concat_ws(" | ", "preferred_label", F.when(F.size("alt_labels") > 0, F.array_join("alt_labels", ", "))))
-    a = Vec.bag_of_words(Vec.token_counts(skills.select("skill").distinct(), ["skill"], "skill"), ["skill"])
-    b = Vec.bag_of_words(Vec.token_counts(named, ["preferred_label"]), ["preferred_label"])
+    a = Vec.bag_of_words(skills.select("skill").distinct(), ["skill"], "skill")
+    named = named.groupBy("preferred_label").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))  # a label may be repeated
+    b = Vec.bag_of_words(named, ["preferred_label"])
     best = Vec.sparse_cosine(a, ["skill"], small_side(b), ["preferred_label"]).groupBy("skill").agg(F.max_by(F.struct("preferred_label", "sim"), F.struct(F.col("sim"), -F.xxhash64("preferred_label").cast("double"))).alias("m"))
     best = best.where(F.col("m.sim") >= floor).select("skill", F.col("m.preferred_label").alias("preferred_label"), F.col("m.sim").alias("similarity")).join(concepts.select("preferred_label", "alt_labels"), "preferred_label")
     return skills.join(best, "skill", "left").select(*skills.columns, F.coalesce("preferred_label", "skill").alias("label"), F.coalesce("alt_labels", F.array().cast("array<string>")).alias("alt_labels"), "similarity")

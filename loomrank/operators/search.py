@@ -55,11 +55,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, corpus: list[str], chunk: str =
     sizes = base.groupBy(*one).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(X.tokens(F.col(text)))).alias("avg_len"))
     df = tf.groupBy(*one, "token").agg(F.count(F.lit(1)).alias("df")).join(sizes, one).withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.groupBy(*one).agg(F.avg("raw").alias("mean"))
-    q = small_side(Vec.token_counts(queries, ["query_id"]).withColumnRenamed("n", "qn"))
-    wanted = df.join(q.select("token").distinct(), "token", "left_semi").join(mean, one)
+    q = small_side(Vec.token_counts(queries, ["query_id"]).select("query_id", "token", F.col("n").alias("qn")))
+    words = small_side(q.select("token").distinct())
+    wanted = df.join(words, "token", "left_semi").join(mean, one)
     idf = wanted.select(*one, "token", "avg_len", F.when(F.col("raw") < 0, V.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    length = base.select(*ids, F.size(X.tokens(F.col(text))).alias("len"))
-    hits = tf.join(idf, [*one, "token"]).join(length, ids).join(q, "token")
+    # only query tokens leave the row's counts
+    hits = tf.join(words, "token", "left_semi").join(idf, [*one, "token"]).join(q, "token")
     weight = F.col("n") * (V.BM25_K1 + 1) / (F.col("n") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / F.col("avg_len")))
     out = hits.groupBy("query_id", *ids).agg(F.sum(F.col("qn") * F.col("idf") * weight).alias("score")).where("score > 0")
     return out if corpus else out.drop("_all")
@@ -87,8 +88,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = V.DENSE_K, lists: tup
     strings = queries.select(F.struct("query_id", "pos").alias("query_id"), "text")
     ids, parts = ["candidate_id", "chunk_id"], []
     if "dense" in lists:
-        vectors = Vec.bag_of_words(Vec.token_counts(chunks, ids), ids)
-        wanted = Vec.bag_of_words(Vec.token_counts(strings, ["query_id"]), ["query_id"])
+        vectors = Vec.bag_of_words(chunks, ids)
+        wanted = Vec.bag_of_words(strings, ["query_id"])
         sims = Vec.sparse_cosine(small_side(wanted), ["query_id"], vectors, ids)
         parts.append(top(sims, ["query_id", "candidate_id"], "sim", "chunk_id", V.DENSE_K).select("query_id", *ids, "rank", F.lit("dense").alias("list")))
     if "lexical" in lists:
@@ -126,7 +127,7 @@ def tfidf_rank(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "te
     """Cosine of each document with a query text under smooth idf ln((1 + n)/(1 + df)) + 1 over both; only shared tokens are joined."""
     spark = docs.sparkSession
     tf = Vec.token_counts(docs, [doc], text).where(F.length("token") > 1)
-    q = Vec.token_counts(spark.range(1).select(F.lit(query).alias("text")), [], "text").where(F.length("token") > 1).withColumnRenamed("n", "qn")
+    q = Vec.token_counts(spark.range(1).select(F.lit(query).alias("text")), [], "text").where(F.length("token") > 1).select("token", F.col("n").alias("qn"))
     if stop:
         tf, q = tf.where(~F.col("token").isin(stop)), q.where(~F.col("token").isin(stop))
     n = docs.agg((F.count(F.lit(1)) + 1).alias("docs"))

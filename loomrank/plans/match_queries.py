@@ -170,7 +170,7 @@ def chunk_coverage(spark, sf_dir):
 @query("bow_embed", f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {bow('v', 'd', 'doc_id')} SELECT doc_id, dim::INT AS dim, round(v, 9) AS v FROM v")
 def bow_embed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return Vec.bag_of_words(Vec.token_counts(docs, ["doc_id"]), ["doc_id"]).withColumn("v", F.round("v", 9))
+    return Vec.bag_of_words(docs, ["doc_id"]).withColumn("v", F.round("v", 9))
 
 
 _DOT = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))"
@@ -385,7 +385,7 @@ def concepts_load(spark, sf_dir):
 @query("index_concepts", f"WITH {_CON}, t AS (SELECT uri AS id, label || ' | ' || array_to_string(alts, ', ') AS text FROM con), {bow('v', 't', 'id')} SELECT id, dim::INT AS dim, round(v, 9) AS v FROM v")
 def index_concepts(spark, sf_dir):
     named = concept_table(spark).select(C("concept_uri").alias("id"), F.concat_ws(" | ", "preferred_label", F.array_join("alt_labels", ", ")).alias("text"))
-    return Vec.bag_of_words(Vec.token_counts(named, ["id"]), ["id"]).withColumn("v", F.round("v", 9))
+    return Vec.bag_of_words(named, ["id"]).withColumn("v", F.round("v", 9))
 
 
 _SK = ["Python", "deep learning", "sql", "painting", "docker"]
@@ -439,10 +439,10 @@ _plan("rerank_doc", lambda s: s.select("doc_id", F.round("ce", 6).alias("score")
 _plan("index_candidates", lambda s: s.select("doc_id", "n_projects", F.round("evidence", 6).alias("evidence")), "SELECT doc_id, n_projects, round(evidence, 6) AS evidence FROM sig")
 
 
-@query("semantic_sim_enriched", f"WITH {PROFILES_SQL}, t AS (SELECT doc_id, text || ' ' || array_to_string({words_sql('lower(snippet)', SKILLS)}, ' ') AS text FROM p), j AS (SELECT {lit(JD)} AS text, 0 AS k), {bow('tv', 't', 'doc_id')}, {bow('jv', 'j', 'k')} SELECT t.doc_id, round(coalesce(s, 0), 6) AS score FROM t LEFT JOIN (SELECT doc_id, sum(tv.v * jv.v) AS s FROM tv JOIN jv USING (dim) GROUP BY 1) USING (doc_id)")
+@query("semantic_sim_enriched", f"WITH {PROFILES_SQL}, t AS (SELECT doc_id, text || ' ' || array_to_string({words_sql('lower(text)', SKILLS)}, ' ') AS text FROM p), j AS (SELECT {lit(JD)} AS text, 0 AS k), {bow('tv', 't', 'doc_id')}, {bow('jv', 'j', 'k')} SELECT t.doc_id, round(coalesce(s, 0), 6) AS score FROM t LEFT JOIN (SELECT doc_id, sum(tv.v * jv.v) AS s FROM tv JOIN jv USING (dim) GROUP BY 1) USING (doc_id)")
 def semantic_sim_enriched(spark, sf_dir):
     p = profiles(spark, sf_dir)
-    rich = p.select("doc_id", F.concat_ws(" ", "text", F.array_join(X.found_words(F.lower("snippet"), SKILLS), " ")).alias("text"))
+    rich = p.select("doc_id", F.concat_ws(" ", "text", F.array_join(X.found_words(F.lower("text"), SKILLS), " ")).alias("text"))
     return rank.similarity_to(rich, JD).select("doc_id", F.round("semantic", 6).alias("score"))
 
 

@@ -22,8 +22,8 @@ def similarity_to(docs: DataFrame, query: str, ids: tuple[str, ...] = ("doc_id",
     """``docs`` ids with the cosine of their bag of words and the query text's; only dimensions of the query are joined."""
     ids = list(ids)
     one = docs.sparkSession.range(1).select(F.lit(0).alias("_q"), F.lit(query).alias("text"))
-    q = Vec.bag_of_words(Vec.token_counts(one, ["_q"]), ["_q"])
-    sims = Vec.sparse_cosine(F.broadcast(q), ["_q"], Vec.bag_of_words(Vec.token_counts(docs, ids, text), ids), ids).drop("_q")
+    q = Vec.bag_of_words(one, ["_q"])
+    sims = Vec.sparse_cosine(F.broadcast(q), ["_q"], Vec.bag_of_words(docs, ids, text), ids).drop("_q")
     return docs.select(*ids).join(sims, ids, "left").select(*ids, F.coalesce("sim", F.lit(0.0)).alias(out))
 
 

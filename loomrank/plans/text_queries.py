@@ -53,11 +53,18 @@ def simple(name: str, column, sql: str, source: str = "profiles", out: str = "va
 
 simple("clean_text", lambda: F.md5(X.clean_text(C("text"))), f"md5({clean_sql('text')})", "documents")
 simple("clean_text_v2", lambda: F.md5(X.clean_text_ascii(C("text"))), "md5(" + squash_sql(r"regexp_replace(regexp_replace(lower(text), '(\d)\.(\d)', '\1DOT\2', 'g'), '[^a-z0-9\s]', ' ', 'g')") + ")")
-simple("fix_numbers", lambda: X.fix_numbers(X.clean_text(C("snippet"))), r"regexp_replace(regexp_replace(" + clean_sql("snippet") + r", '\b([0-4])\s+([0-9]{2})\b', '\1.\2', 'g'), '\b([0-9])\s+00\b', '\1.00', 'g')")
-_exp = "lower(snippet)"
+def whole_word_sql(x: str, pattern: str, by: str) -> str:
+    """A replacement between non-word characters; the second pass finds what shares its left one with the match before."""
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '(^|[^{W}]){pattern}($|[^{W}])', '{by}', 'g')"
+    return x
+
+
+simple("fix_numbers", lambda: F.md5(X.fix_numbers(X.clean_text(C("text")))), "md5(" + whole_word_sql(whole_word_sql(clean_sql("text"), r"([0-4])\s+([0-9]{2})", r"\1\2.\3\4"), r"([0-9])\s+00", r"\1\2.00\3") + ")")
+_exp = "lower(text)"
 for _k, _v in V.ABBREVIATIONS.items():
-    _exp = rf"regexp_replace({_exp}, '\b{_k}\b', '{_v}', 'g')"
-simple("expand_abbrev", lambda: X.expand_abbreviations(C("snippet")), _exp)
+    _exp = whole_word_sql(_exp, _k, rf"\1{_v}\2")
+simple("expand_abbrev", lambda: F.md5(X.expand_abbreviations(C("text"))), f"md5({_exp})")
 simple("skills_keyword", lambda: joined(X.found_words(F.lower(C("text")), V.SKILL_WORDS)), joined_sql(words_sql("lower(text)", V.SKILL_WORDS)))
 simple("skills_v1", lambda: joined(X.found_words(F.lower(C("text")), V.SKILL_WORDS_V1)), joined_sql(words_sql("lower(text)", V.SKILL_WORDS_V1)))
 simple("skills_phrase", lambda: joined(X.found_words(F.lower(C("text")), SKILLS, whole=True)), joined_sql(whole_sql("lower(text)", SKILLS)))
@@ -67,7 +74,7 @@ _YEARS = r"list_transform(regexp_extract_all(text, '\b(20[0-9]{2})\b', 1), lambd
 simple("years_span", lambda: X.year_span(C("text"), YEAR), f"coalesce(list_max(list_filter({_YEARS}, lambda y: y >= 2010 AND y <= {YEAR + 1})) - list_min(list_filter({_YEARS}, lambda y: y >= 2010 AND y <= {YEAR + 1})), 0)")
 _GRADES = r"list_transform(list_zip(regexp_extract_all(text, '(\d\.\d+)\s*(\d{1,3}\.?\d*)', 1), regexp_extract_all(text, '(\d\.\d+)\s*(\d{1,3}\.?\d*)', 2)), lambda p: p[1]::DOUBLE / nullif(p[2]::DOUBLE, 0))"
 simple("cgpa", lambda: X.grade(C("text")), f"round(list_filter({_GRADES}, lambda x: x IS NOT NULL AND x <= 1)[1], 3)")
-simple("tokenize", lambda: joined(X.tokens(C("snippet"))), joined_sql(f"regexp_extract_all(lower(snippet), '[{W}]+')"))
+simple("tokenize", lambda: joined(X.tokens(C("text"))), joined_sql(f"regexp_extract_all(lower(text), '[{W}]+')"))
 simple("content_id", lambda: X.content_id(C("text")), "substr(sha256(text), 1, 16)", "documents")
 simple("prompt_squash", lambda: X.prompt_squash(C("text")), f"CASE WHEN length({squash_sql('text')}) > 600 THEN substr({squash_sql('text')}, 1, 600) || '...' ELSE {squash_sql('text')} END", "documents")
 simple("first_words", lambda: F.lower(X.first_words(C("text"))), f"lower(array_to_string(string_split({squash_sql('text')}, ' ')[1:2], ' '))", "documents")
@@ -98,20 +105,20 @@ def cues_sql(x: str, cues: list[str], width: int) -> str:
     return f"array_to_string(list_transform(list_filter({sql_list(cues)}, lambda q: contains(lower({x}), q)), lambda q: substr({x}, position(q IN lower({x})), {width})), chr(10))"
 
 
-REQUIRED_SQL = f"coalesce(nullif({cues_sql('snippet', V.REQUIRED_CUES, V.REQUIRED_WINDOW)}, ''), snippet)"
-PREFERRED_SQL = cues_sql("snippet", V.PREFERRED_CUES, V.PREFERRED_WINDOW)
+REQUIRED_SQL = f"coalesce(nullif({cues_sql('text', V.REQUIRED_CUES, V.REQUIRED_WINDOW)}, ''), text)"
+PREFERRED_SQL = cues_sql("text", V.PREFERRED_CUES, V.PREFERRED_WINDOW)
 
 
 @query("jd_sections", P + f"SELECT doc_id, {REQUIRED_SQL} AS required_text, {PREFERRED_SQL} AS preferred_text FROM p")
 def jd_sections(spark, sf_dir):
-    return profiles(spark, sf_dir).select("doc_id", X.required_text(C("snippet")).alias("required_text"), X.preferred_text(C("snippet")).alias("preferred_text"))
+    return profiles(spark, sf_dir).select("doc_id", X.required_text(C("text")).alias("required_text"), X.preferred_text(C("text")).alias("preferred_text"))
 
 
-@query("jd_requirements", P + f""", a AS (SELECT doc_id, {words_sql('lower(snippet)', SKILLS)} AS skills, lower({REQUIRED_SQL}) AS r, lower({PREFERRED_SQL}) AS f FROM p),
+@query("jd_requirements", P + f""", a AS (SELECT doc_id, {words_sql('lower(text)', SKILLS)} AS skills, lower({REQUIRED_SQL}) AS r, lower({PREFERRED_SQL}) AS f FROM p),
 b AS (SELECT doc_id, skills, f, CASE WHEN len(list_filter(skills, lambda s: contains(r, s))) > 0 THEN list_filter(skills, lambda s: contains(r, s)) ELSE skills[1:10] END AS req FROM a)
 SELECT doc_id, {joined_sql('req')} AS required_skills, {joined_sql('list_filter(skills, lambda s: contains(f, s) AND NOT list_contains(req, s))')} AS preferred_skills FROM b""")
 def jd_requirements(spark, sf_dir):
-    return requirements(profiles(spark, sf_dir), C("snippet")).select("doc_id", joined("required_skills").alias("required_skills"), joined("preferred_skills").alias("preferred_skills"))
+    return requirements(profiles(spark, sf_dir), C("text")).select("doc_id", joined("required_skills").alias("required_skills"), joined("preferred_skills").alias("preferred_skills"))
 
 
 def requirements(df, text, words=SKILLS):
@@ -129,7 +136,7 @@ def domains_sql(x: str) -> str:
     return f"coalesce(nullif(list_filter([{cases}], lambda d: d IS NOT NULL), []::VARCHAR[]), ['General'])"
 
 
-simple("domains", lambda: joined(X.domains(C("snippet"))), joined_sql(domains_sql("snippet")))
+simple("domains", lambda: joined(X.domains(C("text"))), joined_sql(domains_sql("text")))
 _FIELD = "CASE w " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in V.FIELD_FORMS.items()) + " ELSE w END"
 DEGREES_SQL, FIELDS_SQL = whole_sql("lower(text)", V.DEGREES), f"list_sort(list_distinct(list_transform({whole_sql('lower(text)', V.FIELDS)}, lambda w: {_FIELD})))"
 
@@ -172,7 +179,7 @@ def name_from_source(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", C("f").alias("file"), X.name_from_file(C("f")).alias("name"))
 
 
-_WORDS = f"list_transform(string_split({squash_sql('snippet')}, ' ')[1:14], lambda w: regexp_replace(w, '[^a-zA-Z]', '', 'g'))"
+_WORDS = f"list_transform(string_split({squash_sql('text')}, ' ')[1:14], lambda w: regexp_replace(w, '[^a-zA-Z]', '', 'g'))"
 
 
 def _window_sql(n: int) -> str:
@@ -181,9 +188,12 @@ def _window_sql(n: int) -> str:
     return f"CASE WHEN {first} IS NOT NULL THEN {_TITLE.format(f'w[{first} : {first} + {n - 1}]')} END"
 
 
-@query("name_from_text", P + f", q AS (SELECT doc_id, snippet, {_WORDS} AS w, len(string_split({squash_sql('snippet')}, ' ')) AS n FROM p) SELECT doc_id, coalesce({_window_sql(3)}, {_window_sql(2)}) AS name FROM q")
+_MAIL = r"CASE WHEN regexp_matches(text, '([a-zA-Z]+)[._]([a-zA-Z]+)@') THEN array_to_string(list_transform([regexp_extract(text, '([a-zA-Z]+)[._]([a-zA-Z]+)@', 1), regexp_extract(text, '([a-zA-Z]+)[._]([a-zA-Z]+)@', 2)], lambda w: upper(w[1:1]) || lower(w[2:])), ' ') END"
+
+
+@query("name_from_text", P + f", q AS (SELECT doc_id, text, {_WORDS} AS w, len(string_split({squash_sql('text')}, ' ')) AS n FROM p) SELECT doc_id, coalesce({_window_sql(3)}, {_window_sql(2)}, {_MAIL}) AS name FROM q")
 def name_from_text(spark, sf_dir):
-    return profiles(spark, sf_dir).select("doc_id", X.name_from_text(C("snippet")).alias("name"))
+    return profiles(spark, sf_dir).select("doc_id", X.name_from_text(C("text")).alias("name"))
 
 
 @query("src_dispatch", f"WITH {_FILES_SQL} SELECT doc_id, f AS file, CASE WHEN lower(f) LIKE '%.pdf' THEN 'pdf' WHEN lower(f) LIKE '%.docx' THEN 'docx' ELSE '' END AS kind, lower(f) LIKE '%.pdf' OR lower(f) LIKE '%.docx' AS accepted, regexp_extract(f, '([^/]*)$', 1) AS base FROM f")
@@ -280,20 +290,20 @@ def education_score_v2(spark, sf_dir):
 _JD_DOMAINS = ["AI/ML", "Data Engineering", "DevOps"]
 
 
-@query("context_boost", P + f""", d AS (SELECT doc_id, {domains_sql('snippet')} AS d, {YEAR} - list_max({_YEARS}) AS age, doc_id % 10 / 10.0 AS base FROM p)
+@query("context_boost", P + f""", d AS (SELECT doc_id, {domains_sql('text')} AS d, {YEAR} - list_max({_YEARS}) AS age, doc_id % 10 / 10.0 AS base FROM p)
 SELECT doc_id, round(least(base + 0.1 * len(list_filter({sql_list(_JD_DOMAINS)}, lambda x: list_contains(d, x))) / 3.0 + 0.1 * CASE WHEN age IS NULL THEN 0 WHEN age <= 1 THEN 1.0 WHEN age <= 2 THEN 0.8 WHEN age <= 4 THEN 0.5 ELSE 0.2 END, 1), 3)::DOUBLE AS score FROM d""")
 def context_boost(spark, sf_dir):
     df = profiles(spark, sf_dir)
-    return df.select("doc_id", S.context_boost(C("doc_id") % 10 / 10.0, X.strings(_JD_DOMAINS), X.domains(C("snippet")), C("text"), YEAR).alias("score"))
+    return df.select("doc_id", S.context_boost(C("doc_id") % 10 / 10.0, X.strings(_JD_DOMAINS), X.domains(C("text")), C("text"), YEAR).alias("score"))
 
 
-_OWN = words_sql("lower(snippet)", SKILLS)
+_OWN = words_sql("lower(text)", SKILLS)
 _JDS = ["python", "sql", "docker", "kafka"]
 _SETS = P + f", s AS (SELECT doc_id, {_OWN} AS own, {sql_list(_JDS)} AS jd FROM p) "
 
 
 def skill_sets(spark, sf_dir):
-    return profiles(spark, sf_dir).select("doc_id", X.found_words(F.lower("snippet"), SKILLS).alias("own"), X.strings(_JDS).alias("jd"))
+    return profiles(spark, sf_dir).select("doc_id", X.found_words(F.lower("text"), SKILLS).alias("own"), X.strings(_JDS).alias("jd"))
 
 
 @query("skill_exact", _SETS + "SELECT doc_id, len(list_filter(jd, lambda x: list_contains(own, x))) / 4.0::DOUBLE AS score FROM s")
@@ -369,13 +379,13 @@ def adaptive_sql(base: dict[str, float]) -> str:
     return ", ".join(f"round(({v})::DOUBLE, 9) AS {k}" for k, v in parts.items())
 
 
-_ASKS = P + f", a AS (SELECT doc_id, contains(lower(snippet), 'senior') OR contains(lower(snippet), 'lead') OR contains(lower(snippet), 'years of experience') AS senior, doc_id % 3 AS years, doc_id % 2 = 0 AS edu, doc_id % 5 = 0 AS pref FROM p) SELECT doc_id, "
+_ASKS = P + f", a AS (SELECT doc_id, contains(lower(text), 'senior') OR contains(lower(text), 'lead') OR contains(lower(text), 'years of experience') AS senior, doc_id % 3 AS years, doc_id % 2 = 0 AS edu, doc_id % 5 = 0 AS pref FROM p) SELECT doc_id, "
 
 
 def _weights(name, base):
     @query(name, _ASKS + adaptive_sql(base) + " FROM a")
     def run(spark, sf_dir):
-        w = S.adaptive(C("snippet"), C("doc_id") % 3, C("doc_id") % 2 == 0, base)
+        w = S.adaptive(C("text"), C("doc_id") % 3, C("doc_id") % 2 == 0, base)
         return profiles(spark, sf_dir).select("doc_id", *[F.round(v, 9).alias(k) for k, v in w.items()])
 
 
@@ -444,5 +454,5 @@ def extract_fallback(spark, sf_dir):
 def explanation(spark, sf_dir):
     from ..operators.ranking import explained
 
-    df = profiles(spark, sf_dir).select("doc_id", F.concat(F.lit("Candidate "), C("doc_id")).alias("name"), (C("doc_id") % 8 / 8.0).alias("final_score"), X.found_words(F.lower("snippet"), SKILLS).alias("matched"), F.when(C("doc_id") % 2 == 0, X.strings(["kafka"])).otherwise(F.array().cast("array<string>")).alias("missing"), (C("doc_id") % 3).cast("double").alias("years"))
+    df = profiles(spark, sf_dir).select("doc_id", F.concat(F.lit("Candidate "), C("doc_id")).alias("name"), (C("doc_id") % 8 / 8.0).alias("final_score"), X.found_words(F.lower("text"), SKILLS).alias("matched"), F.when(C("doc_id") % 2 == 0, X.strings(["kafka"])).otherwise(F.array().cast("array<string>")).alias("missing"), (C("doc_id") % 3).cast("double").alias("years"))
     return df.select("doc_id", explained(C("name"), C("final_score"), C("matched"), C("missing"), C("years")).alias("explanation"))
