@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import json
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,23 @@ from .common import table
 
 #: Documents of a block, slots of a period, and hash buckets that a source is ranked in.
 BLOCK, PERIOD, BUCKETS = 16, 1000, 1024
+#: Most slots of a period of given weights.
+SLOTS = 100_000
 
 
 def shares(counts: dict[str, int], weights: dict[str, float] | None = None, period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of each source in a period, at least one: largest remainders of the weights, by default of the square roots of the counts."""
+    """Whole slots of each source in a period.
+
+    Without ``weights`` they go by the square roots of the counts: largest remainders over ``period``, at least one each.
+    Given weights are read as the decimal numbers that they print as, and the period becomes as long as they need to
+    be met exactly: deviation is then against the weights themselves. Only where that takes more than SLOTS slots are
+    they rounded to that many, at least one for each weight above 0. A source of weight 0, or without one, gets none.
+    """
     names = sorted(counts)
+    if weights is not None:
+        return given_shares(names, weights)
     period = max(period, 10 * len(names))
-    raw = {s: float(weights.get(s, 0.0)) if weights else math.sqrt(counts[s]) for s in names}
+    raw = {s: math.sqrt(counts[s]) for s in names}
     total = sum(raw.values()) or 1.0
     exact = {s: raw[s] / total * (period - len(names)) for s in names}
     units = {s: 1 + math.floor(exact[s]) for s in names}
@@ -28,6 +40,26 @@ def shares(counts: dict[str, int], weights: dict[str, float] | None = None, peri
     return units
 
 
+def given_shares(names: list[str], weights: dict[str, float], most: int = SLOTS) -> dict[str, int]:
+    """See ``shares``. Weights that are negative or no numbers, or all 0 while there are sources, raise an error."""
+    if not all(math.isfinite(w) and w >= 0 for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    raw = {s: Fraction(str(weights.get(s, 0))) for s in names}
+    total = sum(raw.values())
+    if not names:
+        return {}
+    if not total:
+        raise ValueError("no source has a weight above 0")
+    exact = {s: w / total for s, w in raw.items()}
+    period = math.lcm(*(w.denominator for w in exact.values()))
+    if period <= most:
+        return {s: int(w * period) for s, w in exact.items()}
+    units = {s: max(math.floor(w * most), 1 if w else 0) for s, w in exact.items()}
+    for s in sorted((s for s in names if exact[s]), key=lambda s: (units[s] - exact[s] * most, s))[: max(most - sum(units.values()), 0)]:
+        units[s] += 1
+    return units
+
+
 def schedule(units: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, k, slot) for a period of sum(units) slots.
 
@@ -36,7 +68,7 @@ def schedule(units: dict[str, int]) -> list[tuple[str, int, int]]:
     shares fill the period, no block is late, so every source stays within one block of its share.
     """
     period, out, ready = sum(units.values()), [], []
-    waiting = [(0, s, 0) for s in sorted(units)]
+    waiting = [(0, s, 0) for s in sorted(units) if units[s]]
     heapq.heapify(waiting)
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
@@ -55,7 +87,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source: str
 
     A source's documents stand in the order of the MD5 of their id and are cut into blocks. Blocks take the
     slots of the period's schedule, period after period. All rows stay: when a source has run out its slots
-    are empty, and until then every source is within one block of its share. A null source is the source
+    are empty, and until then every source is within one block of its share. Rows of a source without a
+    share have null in release, deadline and slot: they are not in the mix. A null source is the source
     "". Rows of equal id follow each other in any order. Names of sources are few (they are fetched with
     their counts); a source is ranked in ``buckets`` parts, so no task gets a source whole. Other columns
     are ignored; an empty table gives an empty result.
@@ -70,17 +103,18 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source: str
     plan = schedule(units)
     share = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(i).alias("number"), F.lit(u).cast("long").alias("share")) for i, (s, u) in enumerate(units.items())]))) if units else spark.sql("SELECT '' AS source, 0 AS number, 1L AS share WHERE false")
     number = {s: i for i, s in enumerate(units)}
-    slots = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({number[s]}, {k}L, {slot}L)" for s, k, slot in plan) + " AS t(number, k, offset)") if plan else spark.sql("SELECT 0 AS number, 0L AS k, 0L AS offset WHERE false")
+    # one literal, whatever the number of slots
+    slots = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"number": number[s], "k": k, "offset": slot} for s, k, slot in plan])), "array<struct<number:int,k:bigint,offset:bigint>>")))
     # share and slots have a row per source and per slot of a period
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "bucket").orderBy("hash", "doc_id")) - 1)
     at = ranked.join(before, ["source", "bucket"]).join(F.broadcast(share), "source").withColumn("at", F.col("before") + F.col("rank"))
-    at = at.withColumn("block", F.floor(F.col("at") / block)).withColumn("k", F.col("block") % F.col("share"))
-    at = at.join(F.broadcast(slots), ["number", "k"])
-    cycle = F.floor(F.col("block") / F.col("share"))
+    at = at.withColumn("block", F.floor(F.col("at") / block)).withColumn("k", F.col("block") % F.nullif("share", F.lit(0)))
+    at = at.join(F.broadcast(slots), ["number", "k"], "left")
+    cycle = F.floor(F.col("block") / F.nullif("share", F.lit(0)))
     return at.select(
         "doc_id", "source", "share", "block", (F.col("at") % block).cast("int").alias("place"),
-        F.expr(f"block * {total} div share").alias("release"),
-        F.expr(f"((block + 1) * {total} + share - 1) div share").alias("deadline"),
+        F.expr(f"block * {total} div nullif(share, 0)").alias("release"),
+        F.expr(f"((block + 1) * {total} + share - 1) div nullif(share, 0)").alias("deadline"),
         (cycle * total + F.col("offset")).alias("slot"),
     )
 

@@ -73,6 +73,37 @@ def test_schedule_stays_within_a_block(units):
     assert done == Counter(units)
 
 
+WEIGHTS = {"a": 0.5005, "b": 0.3003, "c": 0.1992, "none": 0}
+
+
+def test_given_weights_are_met_over_many_periods():
+    units = mixing.shares(dict.fromkeys([*WEIGHTS, "unnamed"], 9), WEIGHTS)
+    period, plan, done = sum(units.values()), mixing.schedule(units), Counter()
+    assert period <= 10_000 and units["none"] == units["unnamed"] == 0
+    for t in range(100 * period):
+        done[plan[t % period][0]] += 1
+        for s, w in WEIGHTS.items():
+            assert abs(done[s] - (t + 1) * w) < 1 - 1e-9
+
+
+def test_given_weights_edges():
+    assert mixing.shares({"a": 1, "b": 1}, {"a": 1e-9, "b": 1}) == {"a": 1, "b": mixing.SLOTS - 1}
+    assert mixing.shares({"a": 1, "b": 1}, {"a": 1, "b": 2, "other": 5}) == {"a": 1, "b": 2}
+    assert mixing.shares({}, {"a": 1}) == {}
+    for bad in ({"a": -1, "b": 2}, {"a": 0}, {}, {"a": float("nan")}):
+        with pytest.raises(ValueError):
+            mixing.shares({"a": 1}, bad)
+
+
+def test_mixing_by_given_weights(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 4 else "none") for i in range(400)], "doc_id long, source string")
+    got = mixing.mixed(df, WEIGHTS, block=2).collect()
+    assert len(got) == 400 and len({r["doc_id"] for r in got}) == 400
+    placed = [r for r in got if r["source"] != "none"]
+    assert all(r["slot"] is None and r["deadline"] is None for r in got if r["source"] == "none")
+    assert len({(r["slot"], r["place"]) for r in placed}) == 300 and all(r["release"] <= r["slot"] < r["deadline"] for r in placed)
+
+
 def test_mixing_keeps_every_row(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 5}") for i in range(900)] + [(None, "hot"), (7, None), (7, None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, slot int")
