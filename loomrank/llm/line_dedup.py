@@ -15,12 +15,10 @@ WIDTH = 8
 #: Shingles start where the content says: at the start of each run without spaces, and inside it at every character
 #: that has WIDTH more of the run behind it; so every character is in some shingle, and an insertion moves no other start.
 ANCHOR = r"(?s)(?=(.{1,%d}))(?:[^ ](?=[^ ]{%d})|[^ ]++ ?)"
-#: Signatures are made of a part of the shingles, chosen by content as well: starts at characters in OTHER (every second one
-#: of the first 256) are passed over, but at the last run of a line.
-OTHER = "".join(f"\\x{{{i:x}}}" for i in range(34, 256, 2))
-SIGNED = rf"(?s)\G(?:[{OTHER}](?:(?=[^ ]{{%d}})|[^ ]*+ ))*+(?=(.{{1,%d}}))(?:[^ ](?=[^ ]{{%d}})|[^ ]++ ?)"
-#: A signature is the smallest SIGNATURE hashes of that part. Bands are two neighbours of the smallest BANDED, then, for lines that these leave open, three of all.
-SIGNATURE, BANDED = 10, 5
+#: Shingles at every character that has WIDTH characters from it on. The queries and the pipeline compare lines by these.
+EVERY = r"(?s)(?=(%s))."
+#: A signature is the smallest SIGNATURE hashes of all shingles of a line; most lines have them among the smallest LOW with repeats. Bands are two neighbours of the smallest BANDED, then, for lines that these leave open, three of all.
+SIGNATURE, BANDED, LOW = 10, 6, 24
 #: Percent by which a signature's estimate may lie below the threshold, and rounds of hubs.
 ROOM, ROUNDS = 30, 1
 #: White space that becomes one space (lines are cut at line feeds before).
@@ -33,9 +31,23 @@ def normal(text: Column) -> Column:
     return F.lower(F.when(some, F.regexp_replace(text, WHITE, " ")).otherwise(text))
 
 
-def shingles(line: Column, width: int = WIDTH) -> Column:
-    """Distinct hashes of the shingles of a normalised line; a shingle at its end may be shorter."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(ANCHOR % (width, width)), F.lit(1)), lambda s: F.xxhash64(s)))
+def pieces(line: Column, width: int = WIDTH, every: bool = False) -> Column:
+    """The shingles of a normalised line, with repeats: at ``every`` character, a line under ``width`` being one, or where ANCHOR says; there one at the end may be shorter."""
+    if every:
+        return F.when(F.length(line) < width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY % ("." * width)), F.lit(1)))
+    return F.regexp_extract_all(line, F.lit(ANCHOR % (width, width)), F.lit(1))
+
+
+def shingles(line: Column, width: int = WIDTH, every: bool = False) -> Column:
+    """Distinct hashes of the shingles of a normalised line."""
+    return F.array_distinct(F.transform(pieces(line, width, every), lambda s: F.xxhash64(s)))
+
+
+def smallest(found: Column) -> Column:
+    """The SIGNATURE smallest distinct hashes of shingles, in order. Only lines of many repeats are rid of these as a whole."""
+    all_ = F.sort_array(F.transform(found, lambda s: F.hash(s)))
+    low = F.array_distinct(F.slice(all_, 1, LOW))
+    return F.slice(F.when((F.size(low) < SIGNATURE) & (F.size(all_) > LOW), F.array_distinct(all_)).otherwise(low), 1, SIGNATURE)
 
 
 def bands(signature: list[str], size: int) -> Column:
@@ -50,20 +62,20 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", "r1", "r2", "pos", F.trim("raw").alias("line")).where("line <> ''")
 
 
-def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width: int = WIDTH) -> DataFrame:
+def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width: int = WIDTH, every: bool = False) -> DataFrame:
     """One row per line that isn't blank: doc_id, r1, r2, pos, keep_doc_id, keep_pos, kept.
 
-    Two lines are alike when the Jaccard similarity of their sets of shingles (ANCHOR) is at
-    least ``percent``/100, after lower case and with white space as one space. Equal lines become one
+    Two lines are alike when the Jaccard similarity of their sets of shingles (at ``every`` character, else
+    where ANCHOR says) is at least ``percent``/100, after lower case and with white space as one space. Equal lines become one
     class, however short. A line (from 0) stays when it is the first of its component by doc_id, then
     position (a null doc_id comes last). Blank lines are left alone and have no row. Null texts are empty.
     Rows with equal doc_id and text are one document. Other columns are ignored; an empty table gives no rows.
-    Of links, those at the very threshold are found with a chance of about 0.92 (bands), nearer ones with more;
+    Of links, those at the very threshold are found with a chance of about 0.96 (bands), nearer ones with more;
     every link used is exact.
     """
     sig = [f"s{i}" for i in range(SIGNATURE)]
-    lines = lines_of(docs, text).select("doc_id", "r1", "r2", "pos", "line", F.regexp_extract_all("line", F.lit(SIGNED % (width, width, width)), F.lit(1)).alias("found"))
-    lines = lines.select("doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.sort_array(F.array_distinct(F.transform("found", lambda s: F.hash(s)))).alias("hashes"))
+    lines = lines_of(docs, text).select("doc_id", "r1", "r2", "pos", "line", pieces(F.col("line"), width, every).alias("found"))
+    lines = lines.select("doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), smallest(F.col("found")).alias("hashes"))
     at = staged(lines.select("doc_id", "r1", "r2", "pos", "h1", "h2", *[F.get("hashes", F.lit(i)).alias(c) for i, c in enumerate(sig)]), "line-all")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "pos")
     distinct = at.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in sig])
@@ -73,11 +85,10 @@ def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width:
     def values_of(ids: DataFrame) -> DataFrame:
         where = staged(beside(distinct, ids, "id", "left_semi").select("at.r1", "at.r2", F.struct("id", "at.pos").alias("w")).groupBy("r1", "r2").agg(F.collect_list("w").alias("wanted")), "line-where")
         rows = docs.select(*row_name(docs, text), normal(text_of(docs, text)).alias("text"))
-        found = beside(rows, where, ["r1", "r2"], "inner").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w.id", F.trim(F.get("all", F.col("w.pos"))).alias("line"))
-        return found.select("id", shingles(F.col("line"), width).alias("values"))
+        return beside(rows, where, ["r1", "r2"], "inner").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w.id", F.trim(F.get("all", F.col("w.pos"))).alias("values"))
 
     keys = [bands(sig[:BANDED], 2), bands(sig, 3)]
-    found: list[DataFrame] = links(nodes, keys, F.lit(SIGNATURE), values_of, percent, SIGNATURE, "line", room=ROOM, rounds=ROUNDS)
+    found: list[DataFrame] = links(nodes, keys, F.lit(SIGNATURE), values_of, percent, SIGNATURE, "line", room=ROOM, rounds=ROUNDS, unpack=lambda line: shingles(line, width, every))
     comp = components(joined(found, distinct.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), "line-cc")
     # only lines that repeat or have links can lose their place
     some = beside(distinct.select("id", "h1", "h2", "at", "copies"), comp, "id", "left").where("copies > 1 or comp is not null")
@@ -93,10 +104,10 @@ def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width:
     )
 
 
-def line_dedup(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = 80, text: str = "text", every: bool = False) -> DataFrame:
     """``docs`` without the lines that ``line_classes`` doesn't keep; all rows and columns stay, other texts as they are."""
     r1, r2, drop = fresh(docs, "r1"), fresh(docs, "r2"), fresh(docs, "drop")
-    gone = line_classes(docs, percent, text).where("not kept").groupBy("r1", "r2").agg(F.collect_set("pos").alias("pos"))
+    gone = line_classes(docs, percent, text, every=every).where("not kept").groupBy("r1", "r2").agg(F.collect_set("pos").alias("pos"))
     gone = staged(gone.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("pos").alias(drop)), "line-gone")
     a, b = row_name(docs, text)
     marked = beside(docs.withColumns({r1: a, r2: b}), gone, [r1, r2], "left")
@@ -105,5 +116,5 @@ def line_dedup(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFr
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that isn't blank with the line that its component keeps."""
-    return line_classes(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").alias("line_no"), "keep_doc_id", F.col("keep_pos").alias("keep_line_no"), "kept")
+    """Every line that isn't blank with the line that its component keeps, by shingles at every character."""
+    return line_classes(table(spark, sf_dir, "documents"), every=True).select("doc_id", F.col("pos").alias("line_no"), "keep_doc_id", F.col("keep_pos").alias("keep_line_no"), "kept")

@@ -236,6 +236,23 @@ def test_lines_of_one_long_run_are_read_to_the_end(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
 
 
+def test_lines_are_compared_by_shingles_at_every_character(spark, tmp_path):
+    dice = random.Random(31)
+    base = [" ".join(dice.choice(WORDS) for _ in range(dice.randint(6, 60))) for _ in range(30)]
+    lines = ["short", "SHORT", "hi", "word " * 300, "word " * 290 + "other", "机器学习模型需要大量的数据才能得到好的结果", "机器学习模型需要大量的数据才能得到好的结果。"]
+    for _ in range(400):
+        w = dice.choice(base).split()
+        for _ in range(dice.randint(0, 3)):
+            w[dice.randrange(len(w))] = dice.choice(WORDS)
+        lines.append(" ".join(w))
+    spark.createDataFrame(list(enumerate(lines)), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    plain = pairs_together(dict(enumerate(classes([plain_shingles(x) for x in lines]))))
+    query = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert set(query) == set(range(len(lines)))
+    mine = pairs_together(query)
+    assert mine <= plain and len(mine) >= 0.97 * len(plain)
+
+
 # --- decontamination ---
 ITEMS = [(1, "If Anna has 12 apples and gives 5 apples to Bob then how many apples does Anna have left over"), (2, "the quick brown fox jumps over the lazy dog tonight"), (3, "too short"), (4, None), (5, "only six words are in here")]
 
