@@ -251,6 +251,8 @@ def test_lines_are_compared_by_shingles_at_every_character(spark, tmp_path):
     assert set(query) == set(range(len(lines)))
     mine = pairs_together(query)
     assert mine <= plain and len(mine) >= 0.97 * len(plain)
+    out = corpus_pipeline.lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r["doc_id"] for r in out.where("text <> ''").collect()} == {d for d, k in query.items() if d == k}
 
 
 # --- decontamination ---
