@@ -140,6 +140,22 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert a == b
 
 
+def test_the_ranker_learns_from_all_labelled_rows(spark):
+    ids = [i for i in range(30_000) if not quality_classifier.is_held_out(i)]
+    assert len(ids) > 15_000
+    # the 6,000 rows with the smallest hash of the id show other texts than the rest
+    first = {r["doc_id"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").limit(6_000).collect()}
+    rows = [(i, ("plain words" if i % 2 else "### $$$") if i in first else ("other text 77" if i % 2 else "@@@ 12345 %%%")) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = quality_classifier.quality(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.99
+    # labels that are 0 for 40 rows only, none of them among the 6,000
+    few = set([i for i in ids if i not in first][:40])
+    rows = [(i, "### $$$ %%%" if i in few else "plain words here") for i in ids]
+    got = quality_classifier.quality(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i not in few)) for i in ids], "doc_id long, quality int")).collect()
+    assert all(r["predicted"] == (r["doc_id"] not in few) for r in got)
+
+
 # --- lines ---
 def plain_shingles(line, width=line_dedup.WIDTH):
     """All character shingles of a line, at every offset."""
