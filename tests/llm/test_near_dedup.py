@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from loomrank.llm import common, components
 from loomrank.llm.near_dedup import keep_representatives, near_duplicates, op10_near_dedup, shingle_set
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -98,3 +99,14 @@ def test_words_are_cut_at_ascii_white_space_only():
     assert len(shingle_set("a b c")) == 1 and len(shingle_set("a b\x1cc d e f")) == 1
     assert (shingle_set("É a b c d") == shingle_set("é a b c d")).all() == False  # noqa: E712
     assert (shingle_set("A B C D E f") == shingle_set("a b c d e\tf")).all()
+
+
+def test_many_shared_keys_are_not_sent_to_every_task(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(components, "staged", lambda df, label: (seen.append((label, df._jdf.queryExecution().toString())), common.staged(df, label))[1])
+    with common.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        for n, sent in ((1_000, True), (components.NARROW + 1, False)):
+            seen.clear()
+            state = spark.range(2 * n).selectExpr("id", "1 as need", f"array(id % {n}) as keys")
+            assert components.shrunk(state, "many").count() == 2 * n
+            assert [("BroadcastHashJoin" in plan) for label, plan in seen if label == "many-open"] == [sent]
