@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,8 @@ WIDTH = 8
 #: Shingles start where the content says: at the start of each run without spaces, and inside it at every character
 #: that has WIDTH more of the run behind it; so every character is in some shingle, and an insertion moves no other start.
 ANCHOR = r"(?s)(?=(.{1,%d}))(?:[^ ](?=[^ ]{%d})|[^ ]++ ?)"
-#: Shingles at every character that has WIDTH characters from it on. The queries and the pipeline compare lines by these.
-EVERY = r"(?s)(?=(%s))."
-#: A signature is the smallest SIGNATURE hashes of all shingles of a line; most lines have them among the smallest LOW with repeats. Bands are two neighbours of the smallest BANDED, then, for lines that these leave open, three of all.
-SIGNATURE, BANDED, LOW = 10, 6, 24
+#: A signature is the smallest SIGNATURE hashes of all shingles of a line; most lines have them among the smallest LOW with repeats. Bands are three neighbours of it.
+SIGNATURE, LOW = 10, 24
 #: Percent by which a signature's estimate may lie below the threshold, and rounds of hubs.
 ROOM, ROUNDS = 30, 1
 #: White space that becomes one space (lines are cut at line feeds before).
@@ -31,21 +30,26 @@ def normal(text: Column) -> Column:
     return F.lower(F.when(some, F.regexp_replace(text, WHITE, " ")).otherwise(text))
 
 
-def pieces(line: Column, width: int = WIDTH, every: bool = False) -> Column:
-    """The shingles of a normalised line, with repeats: at ``every`` character, a line under ``width`` being one, or where ANCHOR says; there one at the end may be shorter."""
-    if every:
-        return F.when(F.length(line) < width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY % ("." * width)), F.lit(1)))
-    return F.regexp_extract_all(line, F.lit(ANCHOR % (width, width)), F.lit(1))
+def pieces(line: Column, make: Callable[[Column], Column], width: int = WIDTH, every: bool = False) -> Column:
+    """The hashes that ``make`` gives of a normalised line's shingles, with repeats: at ``every`` character that has ``width`` from it on, a line under ``width`` being one, or where ANCHOR says; there one at the end may be shorter."""
+    if not every:
+        return F.transform(F.regexp_extract_all(line, F.lit(ANCHOR % (width, width)), F.lit(1)), lambda s: make(s))
+
+    def cut(wide: Column) -> Column:  # four bytes a character, so a shingle is found without counting characters
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 4 * width + 1, F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda i: make(F.substr(wide, i, F.lit(4 * width))))
+
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0))
 
 
 def shingles(line: Column, width: int = WIDTH, every: bool = False) -> Column:
     """Distinct hashes of the shingles of a normalised line."""
-    return F.array_distinct(F.transform(pieces(line, width, every), lambda s: F.xxhash64(s)))
+    return F.array_distinct(pieces(line, F.xxhash64, width, every))
 
 
 def smallest(found: Column) -> Column:
-    """The SIGNATURE smallest distinct hashes of shingles, in order. Only lines of many repeats are rid of these as a whole."""
-    all_ = F.sort_array(F.transform(found, lambda s: F.hash(s)))
+    """The SIGNATURE smallest distinct of the hashes of shingles, in order. Only lines of many repeats are rid of these as a whole."""
+    all_ = F.sort_array(found)
     low = F.array_distinct(F.slice(all_, 1, LOW))
     return F.slice(F.when((F.size(low) < SIGNATURE) & (F.size(all_) > LOW), F.array_distinct(all_)).otherwise(low), 1, SIGNATURE)
 
@@ -74,7 +78,7 @@ def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width:
     every link used is exact.
     """
     sig = [f"s{i}" for i in range(SIGNATURE)]
-    lines = lines_of(docs, text).select("doc_id", "r1", "r2", "pos", "line", pieces(F.col("line"), width, every).alias("found"))
+    lines = lines_of(docs, text).select("doc_id", "r1", "r2", "pos", "line", pieces(F.col("line"), F.hash, width, every).alias("found"))
     lines = lines.select("doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), smallest(F.col("found")).alias("hashes"))
     at = staged(lines.select("doc_id", "r1", "r2", "pos", "h1", "h2", *[F.get("hashes", F.lit(i)).alias(c) for i, c in enumerate(sig)]), "line-all")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "pos")
@@ -87,8 +91,7 @@ def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width:
         rows = docs.select(*row_name(docs, text), normal(text_of(docs, text)).alias("text"))
         return beside(rows, where, ["r1", "r2"], "inner").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w.id", F.trim(F.get("all", F.col("w.pos"))).alias("values"))
 
-    keys = [bands(sig[:BANDED], 2), bands(sig, 3)]
-    found: list[DataFrame] = links(nodes, keys, F.lit(SIGNATURE), values_of, percent, SIGNATURE, "line", room=ROOM, rounds=ROUNDS, unpack=lambda line: shingles(line, width, every))
+    found: list[DataFrame] = links(nodes, [bands(sig, 3)], F.lit(SIGNATURE), values_of, percent, SIGNATURE, "line", room=ROOM, rounds=ROUNDS, unpack=lambda line: shingles(line, width, every))
     comp = components(joined(found, distinct.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), "line-cc")
     # only lines that repeat or have links can lose their place
     some = beside(distinct.select("id", "h1", "h2", "at", "copies"), comp, "id", "left").where("copies > 1 or comp is not null")

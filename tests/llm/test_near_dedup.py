@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomrank.llm import common, components
+from loomrank.llm import common, components, line_dedup
 from loomrank.llm.near_dedup import keep_representatives, near_duplicates, op10_near_dedup, shingle_set
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -110,3 +111,29 @@ def test_many_shared_keys_are_not_sent_to_every_task(spark, monkeypatch):
             state = spark.range(2 * n).selectExpr("id", "1 as need", f"array(id % {n}) as keys")
             assert components.shrunk(state, "many").count() == 2 * n
             assert [("BroadcastHashJoin" in plan) for label, plan in seen if label == "many-open"] == [sent]
+
+
+def test_members_of_a_family_that_are_alike_apart_from_its_middle_get_few_links(spark):
+    base = list(range(1000, 1100))
+    sets = {i: base + [10_000 + i] for i in range(80)}  # near the middle
+    sets |= {100 + i: base[12:] + list(range(2000, 2012)) + [20_000 + i] for i in range(60)}  # not linked with it, all with each other
+    sets |= {200 + i: base[:60] + list(range(3000, 3200)) + [30_000 + i] for i in range(40)}  # the same, by large differences
+    nodes = common.staged(spark.createDataFrame([(i, [7], s) for i, s in sets.items()], "id long, keys array<long>, sketch array<long>"), "test-nodes")
+    found = components.links(nodes, [F.col("keys")], F.lit(1), lambda ids: nodes.join(ids, "id", "left_semi").select("id", F.col("sketch").alias("values")), 80, 400, "test", room=70, rounds=1)
+    pairs = [tuple(r) for t in found for r in t.collect()]
+    like = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})
+    assert all(like(a, b) for a, b in pairs) and len(pairs) < 4 * len(sets)  # 60 * 59 / 2 and more when all of them met
+    comp = {i: i for i in sets}
+    for _ in sets:
+        comp |= {x: min(comp[a], comp[b]) for a, b in pairs for x in (a, b)}
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert {i: comp[i] for i in sets} == {i: i // 100 * 100 for i in sets}
+
+
+def test_bands_and_wide_shingles_are_those_of_every_character(spark):
+    lines = ["abcdefghij", "short", "größere Straße", "\U0001F600 smile and \u4e2d\u6587 text here", "x" * 40]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.shingles(F.col("line"), every=True).alias("s")).collect()
+    for r in rows:
+        x = r["line"]
+        assert len(r["s"]) == len({x[i : i + 8] for i in range(max(1, len(x) - 7))})
