@@ -22,6 +22,7 @@ FILTER_BITS = 1 << 27
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec secs min mins h hr hrs ms second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars cent cents euro euros usd eur gbp percent degree degrees mph kph watt watts volt volts joule joules".split())
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 NUMERIC = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
+MARKS = frozenset(".,;:!?)")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: The code of a token that is punctuation only; a window of these alone never matches.
 BLANK = np.uint64(xxhash.xxh3_64_intdigest(b"") | 8)
@@ -30,28 +31,50 @@ REMEMBERED = 100_000
 
 
 class Words(dict):
-    """Numbers raw tokens, and knows of each by its number: hash of the bare word, kind by itself, whether it ends a sentence, and the bare text."""
+    """Numbers raw tokens, and knows of each by its number: hash of the bare word, kind by itself, and whether it ends a sentence. New ones are known from ``learn`` on."""
 
     def __init__(self) -> None:
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.bare: list[str] = []
-        self.code, self.kind, self.ends = np.empty(1 << 12, np.uint64), np.empty(1 << 12, np.int64), np.empty(1 << 12, bool)
+        self.raw: list[str] = []
+        self.code, self.kind, self.ends = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+        self.known = 0
 
     def __missing__(self, raw: str) -> int:
-        i = self[raw] = len(self)
-        if i == len(self.code):
-            self.code, self.kind, self.ends = (np.concatenate([x, np.empty_like(x)]) for x in (self.code, self.kind, self.ends))
-        bare = EDGE.sub("", raw)
-        low = bare.lower()
-        self.kind[i] = NUMBER if NUMERIC.fullmatch(raw.rstrip(".,;:!?)\"'")) else UNIT if low in UNITS else NAME if bare[:1].isupper() else PLAIN
-        self.code[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 8
-        self.ends[i] = raw.rstrip("\"')").endswith((".", "!", "?"))
-        self.bare.append(low)
+        i = self[raw] = len(self.raw)
+        self.raw.append(raw)
         return i
 
+    def learn(self) -> None:
+        """Hashes and kinds of the tokens numbered since the last call, put into the arrays at once."""
+        new = self.raw[self.known :]
+        code, kind, ends = [], [], []
+        for raw in new:
+            # letters only, or with one mark at the end, need no pattern
+            last = raw[-1:]
+            word = raw if raw.isalpha() else raw[:-1] if last in MARKS and raw[:-1].isalpha() else None
+            if word is not None:
+                low = word.lower()
+                kind.append(UNIT if low in UNITS else NAME if word[0].isupper() else PLAIN)
+                code.append(xxhash.xxh3_64_intdigest(low) | 8)
+                ends.append(word is not raw and last in ".!?")
+                continue
+            word = EDGE.sub("", raw)
+            low = word.lower()
+            kind.append(NUMBER if NUMERIC.fullmatch(raw.rstrip(".,;:!?)\"'")) else UNIT if low in UNITS else NAME if word[:1].isupper() else PLAIN)
+            code.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 8)
+            ends.append(raw.rstrip("\"')").endswith((".", "!", "?")))
+        n, self.known = self.known, len(self.raw)
+        if self.known > len(self.code):
+            room = 2 * self.known - n
+            self.code, self.kind, self.ends = (np.concatenate([x[:n], np.empty(room - n, x.dtype)]) for x in (self.code, self.kind, self.ends))
+        self.code[n : self.known], self.kind[n : self.known], self.ends[n : self.known] = np.array(code, np.uint64), kind, ends
+
+    def bare(self, i: int) -> str:
+        return EDGE.sub("", self.raw[i]).lower()
+
 
 @lru_cache(maxsize=1)
 def words_here() -> Words:
@@ -83,6 +106,7 @@ def windows(text: str, sizes: list[int], verbatim: list[int], item: bool = False
     if not raw:
         return
     at = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+    known.learn()
     kind, ends, words = known.kind[at], known.ends[at], known.code[at]
     begins = np.concatenate([[True], ends[:-1]])
     after_number = np.concatenate([[False], kind[:-1] == NUMBER])
@@ -109,7 +133,7 @@ def windows(text: str, sizes: list[int], verbatim: list[int], item: bool = False
 def slots(kind: np.ndarray, at: np.ndarray, start: int, size: int) -> list[str]:
     """The values of a window's placeholders, with their type, in order."""
     bare = words_here().bare
-    return [f"{kind[i]}{bare[at[i]]}" for i in range(start, start + size) if kind[i] != PLAIN]
+    return [f"{kind[i]}{bare(at[i])}" for i in range(start, start + size) if kind[i] != PLAIN]
 
 
 def item_windows(items: DataFrame, size: int, text: str = "text") -> DataFrame:
