@@ -18,6 +18,9 @@ WIDTH = 8
 ANCHOR = r"(?s)(?=(.{1,%d}))(?:[^ ](?=[^ ]{%d})|[^ ]++ ?)"
 #: A signature is the smallest SIGNATURE hashes of all shingles of a line; most lines have them among the smallest LOW with repeats. Bands are three neighbours of it.
 SIGNATURE, LOW = 10, 24
+#: Of shingles at every character, those that start with a space come first in the order of a signature. PICKED finds what
+#: they have after it. A line that has SIGNATURE of them, as most long ones have, needs no others.
+PICKED = r"(?s) (?=(.{%d}))"
 #: Percent by which a signature's estimate may lie below the threshold, and rounds of hubs.
 ROOM, ROUNDS = 30, 1
 #: White space that becomes one space (lines are cut at line feeds before).
@@ -30,6 +33,11 @@ def normal(text: Column) -> Column:
     return F.lower(F.when(some, F.regexp_replace(text, WHITE, " ")).otherwise(text))
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` gives of ``value``, which is worked out one time however often ``make`` names it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def pieces(line: Column, make: Callable[[Column], Column], width: int = WIDTH, every: bool = False) -> Column:
     """The hashes that ``make`` gives of a normalised line's shingles, with repeats: at ``every`` character that has ``width`` from it on, a line under ``width`` being one, or where ANCHOR says; there one at the end may be shorter."""
     if not every:
@@ -39,7 +47,7 @@ def pieces(line: Column, make: Callable[[Column], Column], width: int = WIDTH, e
         starts = F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 4 * width + 1, F.lit(1)), F.lit(4))
         return F.transform(starts, lambda i: make(F.substr(wide, i, F.lit(4 * width))))
 
-    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0))
+    return once(F.encode(line, "UTF-32"), cut)
 
 
 def shingles(line: Column, width: int = WIDTH, every: bool = False) -> Column:
@@ -49,9 +57,28 @@ def shingles(line: Column, width: int = WIDTH, every: bool = False) -> Column:
 
 def smallest(found: Column) -> Column:
     """The SIGNATURE smallest distinct of the hashes of shingles, in order. Only lines of many repeats are rid of these as a whole."""
-    all_ = F.sort_array(found)
-    low = F.array_distinct(F.slice(all_, 1, LOW))
-    return F.slice(F.when((F.size(low) < SIGNATURE) & (F.size(all_) > LOW), F.array_distinct(all_)).otherwise(low), 1, SIGNATURE)
+
+    def of(all_: Column) -> Column:
+        low = F.array_distinct(F.slice(all_, 1, LOW))
+        return F.slice(F.when((F.size(low) < SIGNATURE) & (F.size(all_) > LOW), F.array_distinct(all_)).otherwise(low), 1, SIGNATURE)
+
+    return once(F.sort_array(found), of)
+
+
+def signature(line: Column, width: int = WIDTH) -> Column:
+    """The SIGNATURE first distinct of the hashes of all shingles of a normalised line, at every character: negative ones of shingles that start with a space, then the others, each in order."""
+    least, most = F.lit(-(2**31)), F.lit(2**31 - 1)
+
+    def other(shingle: Column) -> Column:  # one that is picked counts as the largest hash, which goes; a line under ``width`` is one shingle and none is picked in it
+        picked = (F.substr(shingle, F.lit(1), F.lit(4)) == F.lit(" ".encode("utf-32-be"))) & (F.octet_length(shingle) == 4 * width)
+        return F.when(picked, most).otherwise(F.hash(shingle).bitwiseAND(most))
+
+    def of(picked: Column) -> Column:
+        rest = F.array_remove(smallest(pieces(line, other, width, True)), most)
+        return F.when(F.size(picked) >= SIGNATURE, picked).otherwise(F.slice(F.concat(picked, rest), 1, SIGNATURE))
+
+    found = F.transform(F.regexp_extract_all(line, F.lit(PICKED % (width - 1)), F.lit(1)), lambda s: F.hash(s).bitwiseOR(least))
+    return once(smallest(found), of)
 
 
 def bands(signature: list[str], size: int) -> Column:
@@ -78,8 +105,8 @@ def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width:
     every link used is exact.
     """
     sig = [f"s{i}" for i in range(SIGNATURE)]
-    lines = lines_of(docs, text).select("doc_id", "r1", "r2", "pos", "line", pieces(F.col("line"), F.hash, width, every).alias("found"))
-    lines = lines.select("doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), smallest(F.col("found")).alias("hashes"))
+    hashes = signature(F.col("line"), width) if every else smallest(pieces(F.col("line"), F.hash, width))
+    lines = lines_of(docs, text).select("doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), hashes.alias("hashes"))
     at = staged(lines.select("doc_id", "r1", "r2", "pos", "h1", "h2", *[F.get("hashes", F.lit(i)).alias(c) for i, c in enumerate(sig)]), "line-all")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "pos")
     distinct = at.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in sig])

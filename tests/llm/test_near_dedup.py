@@ -137,3 +137,39 @@ def test_bands_and_wide_shingles_are_those_of_every_character(spark):
     for r in rows:
         x = r["line"]
         assert len(r["s"]) == len({x[i : i + 8] for i in range(max(1, len(x) - 7))})
+
+
+def test_signatures_take_shingles_that_start_with_a_space_first_then_all_others(spark):
+    lines = ["abcdefghij", "short", "a b", "one two three four", "größere Straße und noch mehr Wörter", "\U0001F600 smile and \u4e2d\u6587 text here", "\u4e2d\u6587" * 30, "ab " * 300, " ".join(f"word{i}" for i in range(40))]
+    for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.signature(F.col("line")).alias("s")).collect():
+        sets = {r["line"][i : i + 8] for i in range(max(1, len(r["line"]) - 7))}
+        spaced = sum(x[0] == " " for x in sets)
+        assert len(set(r["s"])) == len(r["s"]) == min(10, len(sets)) and r["s"] == sorted(r["s"])
+        assert sum(x < 0 for x in r["s"]) == min(10, spaced)
+    two = [r["s"] for r in spark.createDataFrame([("head of it " + lines[-1],), (lines[-1] + " and a tail",)], "line string").select(line_dedup.signature(F.col("line")).alias("s")).collect()]
+    assert len({*two[0]} & {*two[1]}) >= 6
+
+
+def test_a_filter_of_keys_keeps_theirs_and_few_others(spark):
+    keys = common.staged(spark.range(0, 50_000).select((F.col("id") * 7 - 100_000).alias("key")), "test-keys")
+    rows = spark.range(0, 350_000).select((F.col("id") - 100_000).alias("key"))
+    left, bits = components.sifted(rows, keys, "test")
+    assert left.join(keys, "key").count() == 50_000 and left.count() < 51_000 and bits.count() <= components.GROUPS
+
+
+def test_open_nodes_are_the_same_with_the_filter(spark, monkeypatch):
+    nodes = common.staged(spark.createDataFrame([(i, 2, [i // 2, 10_000 + i, 20_000 + i // 3 if i % 5 else -i]) for i in range(600)], "id long, need int, keys array<long>"), "test-open")
+    got = []
+    for narrow in (components.NARROW, 10):
+        monkeypatch.setattr(components, "NARROW", narrow)
+        got.append(sorted((r["id"], r["need"], sorted(r["keys"])) for r in components.shrunk(nodes, "test").collect()))
+    assert got[0] == got[1] and len(got[0]) > 400
+
+
+def test_sets_are_unpacked_once_for_each_side_of_a_pair(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(components, "staged", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or common.staged(df, label))
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    values = spark.createDataFrame([(1, "a line of some words"), (2, "a line of some words!"), (3, "other")], "id long, values string")
+    out = components.alike(pairs, values, 80, "test", lambda line: line_dedup.shingles(line, every=True))
+    assert [tuple(r) for r in out.collect()] == [(1, 2)] and plans[0].count("xxhash64(") == 2
