@@ -49,6 +49,20 @@ def test_names(spark):
     assert one(spark, X.name_from_text(F.lit(""))) is None
 
 
+def test_first_words_keep_letters_without_a_capital(spark):
+    """Small letters of the words are those of the SQL, for every letter and sigma at a word's end."""
+    import duckdb
+
+    from loomrank.plans import catalog
+
+    assert one(spark, X.first_words(F.lit(" ana  SILVA x"))) == "Ana Silva" and one(spark, X.first_words(F.lit("eau ßlich"))) == "Eau ßlich"
+    odd = [chr(i) for i in range(0xA1, 0x1E944) if chr(i).isalpha() and (chr(i).lower() != chr(i) or chr(i).upper() != chr(i) or chr(i).title() != chr(i))]
+    texts = ["", " ", "ΑΒΣ ΟΔΟΣ", "a", "ab ﬁx y"] + [t for c in odd for t in (f"{c}ab x{c} z", f"x {c}", c)]
+    want = duckdb.sql("WITH documents AS (SELECT unnest($t) AS text, generate_subscripts($t, 1) AS doc_id) SELECT value FROM (" + catalog.ORACLES["first_words"] + ") ORDER BY doc_id", params={"t": texts}).fetchall()
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", F.lower(X.first_words(F.col("text"))).alias("v")).collect()
+    assert [(texts[r["i"]], r["v"], want[r["i"]][0]) for r in got if r["v"] != want[r["i"]][0]] == []
+
+
 def test_dedupe(spark):
     assert one(spark, X.deduped(F.array(*[F.lit(s) for s in ["SQL", " sql ", "", "Go"]]))) == ["SQL", "Go"]
 
