@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,27 +100,79 @@ def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return out.select(F.col("doc").alias(doc), "candidate_id", F.concat_ws(":", F.substring("candidate_id", 1, 8), F.format_string("%02d", "ordinal")).alias("chunk_id"), "ordinal", "section_type", "char_start", "char_end", "n_tokens", "raw_text")
 
 
+def page_rows(words: pa.Table, tolerance: float) -> pa.RecordBatch:
+    """The lines of whole pages, whose words stand together: see ``page_lines``."""
+    def numbers(name: str) -> np.ndarray:
+        return pc.fill_null(words[name].cast(pa.float64()), float("nan")).to_numpy()
+
+    x0, top, height = numbers("x0"), numbers("doctop"), numbers("height")
+    new = changes(words)
+    first, page = np.flatnonzero(new), np.cumsum(new) - 1
+    # columns, as by sections.column_split
+    order = np.lexsort((x0, page))
+    gap = np.where(np.append(new[1:], True), -1.0, np.append(np.diff(x0[order]), -1.0))
+    widest = np.maximum.reduceat(gap, first)
+    at = np.flatnonzero(gap == widest[page])
+    at = at[np.diff(page[at], prepend=-1) > 0]
+    a, b = np.full(len(first), np.nan), np.full(len(first), np.nan)
+    a[page[at]], b[page[at]] = x0[order][at], x0[order][np.minimum(at + 1, len(x0) - 1)]
+    sides = np.minimum(np.add.reduceat((x0 < a[page]).astype(int), first), np.add.reduceat((x0 > b[page]).astype(int), first))
+    split = np.where((widest >= V.COLUMN_GAP) & (sides >= V.COLUMN_TOKENS), (a + b) / 2, np.nan)
+    col = (x0 > split[page]).astype(np.int32)
+    # the median of the heights below 20, 10 if there is none
+    low = np.add.reduceat((height < 20).astype(int), first)
+    median = np.where(low > 0, height[np.lexsort((height, page))][np.minimum(first + low // 2, len(x0) - 1)], 10.0)
+    # words at the same height of a column are one step of the running mean
+    order = np.lexsort((words["i"].to_numpy(), x0, top, col, page))
+    o_page, o_col, o_top = page[order], col[order], top[order]
+    steps = np.flatnonzero((np.diff(o_page, prepend=-1) != 0) | (np.diff(o_col, prepend=-1) != 0) | (np.diff(o_top, prepend=np.nan) != 0))
+    starts, lines, at_page, at_col, line, mean, n = [], [], -1, -1, 0, 0.0, 0
+    for start, k, p, c, t in zip(steps.tolist(), np.diff(steps, append=len(order)).tolist(), o_page[steps].tolist(), o_col[steps].tolist(), o_top[steps].tolist()):
+        if p == at_page and c == at_col and abs(t - mean) <= tolerance:
+            mean, n = (mean * n + t * k) / (n + k), n + k
+            continue
+        line = line + 1 if p == at_page else 0
+        starts.append(start)
+        lines.append(line)
+        at_page, at_col, mean, n = p, c, t, k
+    where = order[starts]
+    texts = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), words["text"].cast(pa.string()).take(pa.array(order)).combine_chunks())
+    columns = [words["doc_id"].take(pa.array(where)).combine_chunks(), words["page"].take(pa.array(where)).combine_chunks(), pa.array(col[where]), pa.array(lines, pa.int32()), pc.binary_join(texts, " "), pa.array(median[page[where]])]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "page", "col", "line", "text", "body_height"])
+
+
+def changes(words: pa.Table) -> np.ndarray:
+    """Where a word is the first of its page."""
+    new = np.zeros(len(words), bool)
+    new[:1] = True
+    for name in ("doc_id", "page"):
+        c = words[name]
+        for values in (pc.fill_null(c, 0).to_numpy(), c.is_null().to_numpy()):
+            new[1:] |= values[1:] != values[:-1]
+    return new
+
+
 def page_lines(words: DataFrame, tolerance: float = V.LINE_TOLERANCE) -> DataFrame:
     """words(doc_id, page, i, text, x0, doctop, height) to lines in reading order: left column first on pages of two columns.
 
-    A word joins the line whose running mean of doctop is within ``tolerance``; one page is handled at a time.
+    A word joins the line whose running mean of doctop is within ``tolerance``. Words come sorted by page, and all whole pages
+    of an Arrow batch are handled at once; what is held is a batch and one page.
     """
-    from .sections import column_split
-
-    placed = words.join(column_split(words, ["doc_id", "page"]), ["doc_id", "page"], "left").withColumn("col", F.when(F.col("x0") > F.col("split"), 1).otherwise(0))
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["col", "doctop", "x0", "i"])
-        body = sorted(h for h in page["height"] if h < 20)
-        median = body[len(body) // 2] if body else 10.0
-        rows, mean, n, col = [], None, 0, None
-        for w in page.itertuples():
-            if mean is not None and w.col == col and abs(w.doctop - mean) <= tolerance:
-                rows[-1][3].append(w.text)
-                mean, n = (mean * n + w.doctop) / (n + 1), n + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            both = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b] if held else [b])
+            cuts = np.flatnonzero(changes(both)[1:]) + (0 if held else 1)
+            if len(cuts):
+                # the last page may go on in the next batch
+                yield page_rows(pa.Table.from_batches([*held, b.slice(0, cuts[-1])]), tolerance)
+                held = [b.slice(cuts[-1])]
             else:
-                rows.append((w.doc_id, w.page, w.col, [w.text]))
-                mean, n, col = w.doctop, 1, w.col
-        return pd.DataFrame([(d, p, c, i, " ".join(t), float(median)) for i, (d, p, c, t) in enumerate(rows)], columns=["doc_id", "page", "col", "line", "text", "body_height"])
+                held.append(b)
+        if held:
+            yield page_rows(pa.Table.from_batches(held), tolerance)
 
-    return placed.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, col int, line int, text string, body_height double")
+    placed = words.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "i", "text", "x0", "doctop", "height")
+    return placed.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page").mapInArrow(run, "doc_id long, page int, col int, line int, text string, body_height double")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from loomrank.functions import scores as S
 from loomrank.functions import text as X
+from loomrank.functions import vocab as V
+from loomrank.llm.common import setting
 from loomrank.operators import chunking, evaluate, evidence, search, store
 
 
@@ -131,6 +133,41 @@ def test_chunk_invariants():
     assert chunking.chunk_ranges("") == []
 
 
+def test_page_lines_by_brute_force(spark):
+    """Random pages (ties, near heights, one and two columns, a page over many batches) against a word-by-word loop and the column operator."""
+    import random
+
+    from loomrank.operators.sections import column_split
+
+    rng = random.Random(5)
+    words = []
+    for doc in (None, *range(25)):
+        for page in range(rng.randint(1, 3)):
+            two = rng.random() < 0.6
+            for i in range(rng.choice([1, 2] if doc is None else [1, 2, 40, 90, 300])):
+                x = (320.0 if two and rng.random() < 0.5 else 20.0) + rng.randrange(8) * 12.0
+                words.append((doc, page, i, f"w{i}", x, rng.choice([0.0, 2.5, 14.0, 1.5, 15.75, 28.0]) + rng.randrange(4) * 40, rng.choice([9.0, 10.0, 11.5, 30.0])))
+    df = spark.createDataFrame(words, "doc_id long, page int, i long, text string, x0 double, doctop double, height double")
+    split = {(r["doc_id"], r["page"]): r["split"] for r in column_split(df, ["doc_id", "page"]).collect()}
+    want = []
+    for key in {w[:2] for w in words}:
+        mine = [(int(split.get(key) is not None and x > split[key]), top, x, i, t, h) for d, p, i, t, x, top, h in words if (d, p) == key]
+        body = sorted(w[5] for w in mine if w[5] < 20)
+        lines, mean, n, col = [], None, 0, None
+        for c, top, _, _, t, _ in sorted(mine):
+            if mean is not None and c == col and abs(top - mean) <= V.LINE_TOLERANCE:
+                lines[-1][1].append(t)
+                mean, n = (mean * n + top) / (n + 1), n + 1
+            else:
+                lines.append((c, [t]))
+                mean, n, col = top, 1, c
+        want += [(*key, c, i, " ".join(t), body[len(body) // 2] if body else 10.0) for i, (c, t) in enumerate(lines)]
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "70"):
+        got = [tuple(r) for r in chunking.page_lines(df).collect()]
+    assert any(split.values()) and sorted(got, key=repr) == sorted(want, key=repr)
+    assert chunking.page_lines(df.limit(0)).count() == 0
+
+
 def test_streaming_dedupes(spark, tmp_path):
     from loomrank.streaming.ingest import ingest_available
 
