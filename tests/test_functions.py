@@ -168,6 +168,23 @@ def test_page_lines_by_brute_force(spark):
     assert chunking.page_lines(df.limit(0)).count() == 0
 
 
+def test_bm25_mean_only_where_a_token_is_common(spark):
+    """A token in over half of a corpus's chunks has a quarter of the mean over all its tokens, with the words looked up or joined."""
+    import math
+
+    c = spark.createDataFrame([(1, "a", "sql x"), (1, "b", "sql y y"), (1, "c", "sql go"), (2, "d", "go"), (2, "e", "z"), (2, "f", "w")], "candidate_id int, chunk_id string, text string")
+    q = spark.createDataFrame([(0, "sql go")], "query_id int, text string")
+    got = {r["chunk_id"]: r["score"] for r in search.bm25(c, q, ["candidate_id"]).collect()}
+    raw = {1: math.log(2.5 / 1.5), 3: math.log(0.5 / 3.5)}
+    mean = (3 * raw[1] + raw[3]) / 4
+
+    def part(size, avg):
+        return 2.5 / (1 + 1.5 * (0.25 + 0.75 * size / avg))
+
+    assert set(got) == {"d", "c"} | ({"a", "b"} if mean > 0 else set())
+    assert abs(got["c"] - (raw[1] + 0.25 * mean) * part(2, 7 / 3)) < 1e-12 and abs(got["d"] - raw[1] * part(1, 1)) < 1e-12
+
+
 def test_streaming_dedupes(spark, tmp_path):
     from loomrank.streaming.ingest import ingest_available
 
