@@ -168,6 +168,23 @@ def test_page_lines_by_brute_force(spark):
     assert chunking.page_lines(df.limit(0)).count() == 0
 
 
+def test_evaluation_of_retrieval_reads_the_texts_in_one_exchange(spark, sf_dir):
+    """Recall by config equals that of separate runs, and the texts are dealt once, however often the chunks are used."""
+    from loomrank.plans import match_queries as M
+
+    c, q = M.chunks(spark, sf_dir), M.req_strings(spark)
+    gold = {(r["query_id"], r["candidate_id"], r["chunk_id"]) for r in M.gold_chunks(c).collect()}
+    both = search.hybrid(c, q)
+    first = q.where("pos = 0").select("query_id", F.col("text").alias("query"))
+    apart = {"dense_only": search.hybrid(c, q, 3, ("dense",)), "bm25_only": search.hybrid(c, q, 3, ("lexical",)), "hybrid": both.where("rank <= 3"), "hybrid_ce": search.rerank(both.join(first, "query_id"), "query", ["query_id", "candidate_id"], floor=None)}
+    want = {k: len(gold & {(r["query_id"], r["candidate_id"], r["chunk_id"]) for r in df.select("query_id", "candidate_id", "chunk_id").collect()}) for k, df in apart.items()}
+    df = M.eval_ablation(spark, sf_dir)
+    assert {r["config"]: (r["hits"], r["pairs"]) for r in df.collect()} == {k: (v, len(gold)) for k, v in want.items()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("Exchange hashpartitioning(doc_id") - final.count("ReusedExchange") <= 1 and "hashpartitioning(doc_id" in final
+
+
 def test_bm25_mean_only_where_a_token_is_common(spark):
     """A token in over half of a corpus's chunks has a quarter of the mean over all its tokens, with the words looked up or joined."""
     import math
