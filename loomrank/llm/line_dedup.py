@@ -118,7 +118,7 @@ def line_classes(docs: DataFrame, percent: int = 80, text: str = "text", width:
         rows = docs.select(*row_name(docs, text), normal(text_of(docs, text)).alias("text"))
         return beside(rows, where, ["r1", "r2"], "inner").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w")).select("w.id", F.trim(F.get("all", F.col("w.pos"))).alias("values"))
 
-    found: list[DataFrame] = links(nodes, [bands(sig, 3)], F.lit(SIGNATURE), values_of, percent, SIGNATURE, "line", room=ROOM, rounds=ROUNDS, unpack=lambda line: shingles(line, width, every))
+    found: list[DataFrame] = links(nodes, [bands(sig, 3)], F.lit(SIGNATURE), values_of, percent, SIGNATURE, "line", room=ROOM, rounds=ROUNDS, unpack=lambda line: shingles(line, width, every), sift=True)
     comp = components(joined(found, distinct.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), "line-cc")
     # only lines that repeat or have links can lose their place
     some = beside(distinct.select("id", "h1", "h2", "at", "copies"), comp, "id", "left").where("copies > 1 or comp is not null")
