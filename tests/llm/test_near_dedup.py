@@ -173,3 +173,33 @@ def test_sets_are_unpacked_once_for_each_side_of_a_pair(spark, monkeypatch):
     values = spark.createDataFrame([(1, "a line of some words"), (2, "a line of some words!"), (3, "other")], "id long, values string")
     out = components.alike(pairs, values, 80, "test", lambda line: line_dedup.shingles(line, every=True))
     assert [tuple(r) for r in out.collect()] == [(1, 2)] and plans[0].count("xxhash64(") == 2
+
+
+def test_close_equals_the_estimate_by_hand(spark):
+    dice = random.Random(5)
+    rows = [(sorted(dice.sample(range(40), dice.randint(1, 10))), sorted(dice.sample(range(40), dice.randint(1, 10)))) for _ in range(300)]
+    rows += [(x, sorted({*x[1:], dice.randrange(40)})) for x, _ in rows]
+    for r in spark.createDataFrame(rows, "x array<int>, y array<int>").select("x", "y", components.close("x", "y", 10, 50).alias("close")).collect():
+        low = sorted({*r["x"]} | {*r["y"]})[:10]
+        assert r["close"] == (100 * len({*low} & {*r["x"]} & {*r["y"]}) >= 50 * len(low))
+
+
+def test_signatures_of_equal_lines_are_not_shuffled(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "staged", lambda df, label: plans.append((label, df._jdf.queryExecution().toString())) or common.staged(df, label))
+    docs = spark.createDataFrame([(i, f"line {i // 2} of some words\nand one that all have") for i in range(40)], "doc_id long, text string")
+    got = {(r["doc_id"], r["pos"]): (r["keep_doc_id"], r["keep_pos"]) for r in line_dedup.line_classes(docs, 95, every=True).collect()}
+    assert got == {(i, p): ((0, 1) if p else (i // 2 * 2, 0)) for i in range(40) for p in (0, 1)}
+    assert any(label == "line-distinct" for label, _ in plans)
+    assert not any("s0" in line for label, plan in plans if label in ("line-copies", "line-distinct") for line in plan.split("\n") if "Exchange hashpartitioning" in line) and all("Exchange hashpartitioning" not in plan for label, plan in plans if label == "line-distinct")
+
+
+def test_first_copies_are_the_same_with_the_filter(spark, monkeypatch):
+    at = common.staged(spark.range(3000).selectExpr("id", "id % 700 as h1", "id % 1400 as h2"), "test-at")
+    copies = common.staged(at.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 2").select("h1", "h2", "first"), "test-copies")
+    got = []
+    for few in (True, False):
+        monkeypatch.setattr(line_dedup, "small", lambda keys, few=few: few)
+        rows, _ = line_dedup.with_first(at, copies, "test")
+        got.append(sorted((r["id"], -1 if r["first"] is None else r["first"]) for r in rows.collect()))
+    assert got[0] == got[1] and len(got[0]) == 3000 and len({x[1] for x in got[0]}) == 201
